@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import common as C
 from corvane.llm.substring import substring_dedup
+from corvane.llm.suffixarray import suffix_array_dedup
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(C.read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array_dedup(C.read(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup,)}
+    return {f.__name__: f for f in (op2_substring_dedup, op8_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
