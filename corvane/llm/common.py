@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,7 +53,7 @@ def text_bytes(docs: DataFrame) -> int:
 
 
 def block_count(spark: SparkSession, n_bytes: int) -> int:
-    return max(2 * partitions(spark), -(-n_bytes // BLOCK_BYTES))
+    return max(partitions(spark), -(-n_bytes // BLOCK_BYTES))
 
 
 def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
@@ -100,6 +101,19 @@ class Block:
         return pa.array(self.ids, pa.int64(), mask=self.null_id)
 
 
+def cut_batches(batches):
+    """Tables of at most ``BLOCK_BYTES`` of text each, from Arrow batches of whole rows."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        sizes = np.cumsum(np.asarray(pc.binary_length(table.column("text")).fill_null(0)), dtype=np.int64)
+        at = 0
+        while at < table.num_rows:
+            base = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, base + BLOCK_BYTES)))
+            yield table.slice(at, to - at)
+            at = to
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     h = h ^ (h >> np.uint64(31))
@@ -279,3 +293,12 @@ def replies_by_level(table: pa.Table) -> dict[int, dict[int, bytes]]:
 
 def answered(keys: DataFrame, n_buckets: int, level: int, width: int, hot: int = 1 << 62) -> DataFrame:
     return keys.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, level, width, hot), REPLY)
+
+
+def arrow_column(function, kind: str):
+    """A column function over Arrow arrays."""
+
+    def column(text: pa.Array) -> pa.Array:
+        return function(text)
+
+    return F.arrow_udf(column, kind)
