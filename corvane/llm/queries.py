@@ -6,21 +6,80 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm import bpe, fingerprints, hyperlang, quality
 from corvane.llm import common as C
+from corvane.llm.minhash import minhash_near_dedup
+from corvane.llm.packing import pack
+from corvane.llm.sharding import kd_shards
 from corvane.llm.substring import substring_dedup
 from corvane.llm.suffixarray import suffix_array_dedup
+from corvane.llm.vafile import exact_top_k
+
+
+#: The tokenizer that op6 must match; its path is a parameter of the operator.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(C.read(spark, sf_dir, "documents"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(C.read(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op3_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(C.read(spark, sf_dir, "documents"))
+
+
+def op4_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_near_dedup(C.read(spark, sf_dir, "documents"))
+
+
+def op5_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    return quality.quality_scores(docs, quality.train(docs, C.read(spark, sf_dir, "labels")))
+
+
+def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode_decode(C.read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)))
+
+
+def op7_va_file_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(C.read(spark, sf_dir, "embeddings"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_array_dedup(C.read(spark, sf_dir, "documents")).drop("kept")
 
 
+def op9_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.read(spark, sf_dir, "documents")
+    return hyperlang.languages(docs, hyperlang.train(docs))
+
+
+def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(C.read(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_length_bucket_packing,
+    op2_substring_dedup,
+    op3_kd_tree_sharding,
+    op4_circulant_minhash,
+    op5_attention_quality,
+    op6_transducer_bpe,
+    op7_va_file_topk,
+    op8_suffix_array_dedup,
+    op9_hyperdimensional_langid,
+    op10_bottom_k_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op8_suffix_array_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
