@@ -56,10 +56,13 @@ def block_count(spark: SparkSession, n_bytes: int) -> int:
     return max(partitions(spark), -(-n_bytes // BLOCK_BYTES))
 
 
-def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
-    """doc_id, text and a block by the hash of the id: any key, source or group of copies spreads over all blocks."""
+def in_blocks(docs: DataFrame, n_blocks: int, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text and a block by the hash of the id: any key, source or group of copies spreads over all blocks.
+
+    carry: columns that come along as the struct ``carried``, for operators that give rows back whole.
+    """
     block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n_blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block")).repartition(n_blocks, "block")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else [])).repartition(n_blocks, "block")
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], sub: Column, n_sub: int, name: str = "slot") -> DataFrame:
@@ -89,6 +92,7 @@ class Block:
             blobs = raw.to_pylist()
             order = np.array(sorted(range(len(plain)), key=lambda i: (plain[i], blobs[i])))
         raw = raw.take(pa.array(order))
+        self.order = order
         self.null_id = np.asarray(ids.is_null())[order]
         self.ids = plain[order]
         self.n = len(order)

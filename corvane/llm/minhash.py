@@ -241,3 +241,11 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BAN
     whole = placed.select("doc_id", "cls").join(label, "cls", "left").select("doc_id", F.coalesce("comp", "cls").alias("comp"))
     out = signed.select("doc_id", "n_shingles").join(whole, "doc_id", "left").withColumn("component_id", F.coalesce("comp", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with the smallest id of each component only. Rows without an id stay; rows that repeat a kept id
+    stay together."""
+    found = minhash_near_dedup(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")

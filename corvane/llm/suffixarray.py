@@ -27,6 +27,8 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm import common as C
 
@@ -326,17 +328,39 @@ def _cut(table: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
     runs[heads] = lone[heads]
     count = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][b.start])
     texts = [b.data[s:e][keep[s:e]].tobytes() for s, e in zip(b.start[:-1].tolist(), b.start[1:].tolist())]
-    return pa.Table.from_arrays([b.id_column(), pa.array(np.diff(b.start), pa.int64()), pa.array(count(lone), pa.int64()), pa.array(count(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(texts, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+    columns = [b.id_column(), pa.array(np.diff(b.start), pa.int64()), pa.array(count(lone), pa.int64()), pa.array(count(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(texts, pa.binary())]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    if "carried" in table.column_names:
+        columns.append(table.column("carried").combine_chunks().take(pa.array(b.order)))
+        names.append("carried")
+    return pa.Table.from_arrays(columns, names=names)
 
 
-def suffix_array_dedup(docs: DataFrame, n_blocks: int | None = None) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row of ``docs`` (doc_id, text)."""
+def suffix_array_dedup(docs: DataFrame, n_blocks: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row of ``docs`` (doc_id, text).
+
+    carry: names of columns that come back with each row, as the struct ``carried``.
+    """
     spark = docs.sparkSession
     n_blocks = n_blocks or C.block_count(spark, C.text_bytes(docs))
     n_buckets = max(C.partitions(spark), n_blocks // 4)
-    blocks = C.in_blocks(docs, n_blocks)
+    blocks = C.in_blocks(docs, n_blocks, carry)
+    schema = T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *([blocks.schema["carried"]] if carry else [])])
     seeds = blocks.groupBy("block").applyInArrow(lambda t: _send_seeds(t, n_buckets), C.EXCHANGE)
     shared = C.answered(seeds, n_buckets, 0, SENT, HOT_BLOCKS)
     pieces = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, r: _send_pieces(t, r, n_buckets), C.EXCHANGE)
     gone = pieces.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_decide, C.REPLY)
-    return blocks.groupBy("block").cogroup(shared.unionByName(gone).groupBy("block")).applyInArrow(lambda t, r: _cut(t, r, n_buckets), SCHEMA)
+    return blocks.groupBy("block").cogroup(shared.unionByName(gone).groupBy("block")).applyInArrow(lambda t, r: _cut(t, r, n_buckets), schema)
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with what ``suffix_array_dedup`` keeps as the text and its length as n_chars if there is one.
+
+    A cut inside a character leaves bytes that are no UTF-8; they go too. A text that is null stays null.
+    """
+    out = suffix_array_dedup(docs, carry=docs.columns)
+    kept = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit(""))
+    kept = F.when(F.col("carried.text").isNull(), F.lit(None).cast("string")).when(F.col("n_removed") == 0, F.col("carried.text")).otherwise(kept)
+    rows = out.select("carried", kept.alias("kept"))
+    made = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return rows.select(*[(made[c] if c in made else F.col(f"carried.`{c}`")).alias(c) for c in docs.columns])
