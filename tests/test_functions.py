@@ -64,7 +64,7 @@ def test_readers(spark):
     mail.set_content("see file")
     mail.add_attachment(docx, maintype="application", subtype="octet-stream", filename="x.docx")
     xlsx = _zip(**{"xl__workbook_dot_xml": "<w xmlns:r='r'><sheets><sheet name='S' r:id='r1'/></sheets></w>", "xl___rels__workbook_dot_xml_dot_rels": "<R><x Id='r1' Target='worksheets/s1.xml'/></R>", "xl__worksheets__s1_dot_xml": "<w><c r='B2'><v>7</v></c></w>"})
-    blobs = {"d": docx, "m": bytes(mail), "z": gzip.compress(b"plain words"), "x": xlsx, "p": b"%PDF-1.4", "t": "naïve".encode("cp1252"), "u": "text".encode("utf-16-le") * 4, "e": b"", "b": b"\x00\x01\x02\x03\x00"}
+    blobs = {"d": docx, "m": bytes(mail), "z": gzip.compress(b"plain words"), "x": xlsx, "p": b"%PDF-1.4", "t": "naïve".encode("cp1252"), "u": "text".encode("utf-16-le") * 4, "e": b"", "b": bytes(range(256))}
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in blobs.items()], "path string, content binary")
     rows = {(r.path, r.part): r for r in readers.extracted(df).collect()}
     assert rows["d", ""].text == "Hello\nWorld" and rows["m", "/x.docx"].text == "Hello\nWorld" and "see file" in rows["m", ""].text
