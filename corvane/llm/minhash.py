@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corvane.llm import common as C
 
@@ -247,5 +246,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the smallest id of each component only. Rows without an id stay; rows that repeat a kept id
     stay together."""
     found = minhash_near_dedup(docs)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

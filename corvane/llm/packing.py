@@ -26,8 +26,9 @@ EXACT = 512
 
 
 def word_count(text: Column) -> Column:
-    """Without building the words: every word's first byte follows a blank or the start."""
-    return F.length(F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit(""))), "[ \\x09-\\x0D]+[^ \\x09-\\x0D]*+", "x")).cast("long")
+    """Each word becomes one letter, the blanks go, and the letters are counted: no array of words is built."""
+    letters = F.regexp_replace(F.coalesce(text, F.lit("")), "[^ \\x09-\\x0D]++", "x")
+    return F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
 def bin_of(length: Column) -> Column:
