@@ -17,7 +17,7 @@ ABBREVIATIONS = re.compile(r"(?i)\b(e\.g|i\.e|etc|dr|mr|mrs|no|vs|approx|z\.b)\.
 def prose(text: str) -> str:
     """Code, URLs and mail addresses masked by blanks of the same length; line breaks stay."""
     blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-    for p in (r"```.*?```", r"`[^`\n]*`", r"\b\w+://\S+", r"\S+@\S+\.\w+"):
+    for p in (r"```.*?```", r"`[^`\n]*`", r"\b\w+://\S*[^\s.,;:!?)]", r"\S+@\S+\.\w+"):
         text = re.sub(p, blank, text, flags=re.S)
     return text
 
@@ -66,7 +66,7 @@ def tells(text: str) -> dict[str, int]:
 
 #: Kinds by ordered masking: what an earlier kind took, a later one doesn't see.
 CLAIMS = [
-    ("url", re.compile(r"\b\w+://\S+")),
+    ("url", re.compile(r"\b\w+://\S*[^\s.,;:!?)]")),
     ("path", re.compile(r"(?<!\w)/(?:[\w{}.-]+/)+[\w{}.-]*")),
     ("ip", re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")),
     ("date", re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")),
