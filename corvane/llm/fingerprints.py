@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from corvane.llm import common as C
 
-WORDS, K = 5, 64
+WORDS, K = 5, 128
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:

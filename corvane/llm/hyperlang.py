@@ -120,15 +120,25 @@ class LanguageModel:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
-    """Prototypes from at most ``sample`` rows outside the held-out quarter."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.substring(F.col("text").cast("string"), 1, 8192).alias("text")).where("lang is not null and text is not null")
-    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample).toArrow().to_pylist()
-    cache, sums = Trigrams(), {}
-    for row in chosen:
-        v = cache.bundle(row["text"])
-        if v is not None:
-            sums.setdefault(row["lang"], np.zeros(SIZE))
-            sums[row["lang"]] += v / max(float(np.linalg.norm(v)), 1e-9)
+    """Prototypes from at most ``sample`` rows outside the held-out quarter. Executors make the texts' vectors, so the driver gets
+    a vector a row, never a text."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    known = known.where(~held_out(F.col("doc_id")))
+    # ids first: ``sample`` of them at most, so they are broadcast and no text is sorted
+    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    def bundled(batches):
+        cache = Trigrams()
+        for batch in batches:
+            made = [(i, lang, cache.bundle(t)) for i, lang, t in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
+            made = [(i, lang, v.astype(np.float32).tobytes()) for i, lang, v in made if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.binary()))], names=["doc_id", "lang", "v"])
+
+    rows = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(bundled, "doc_id long, lang string, v binary")
+    sums: dict[str, np.ndarray] = {}
+    for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "v").limit(sample).toArrow().to_pylist():
+        v = np.frombuffer(row["v"], np.float32).astype(np.float64)
+        sums[row["lang"]] = sums.get(row["lang"], 0) + v / max(float(np.linalg.norm(v)), 1e-9)
     names = sorted(sums)
     table = np.array([sums[k] / max(float(np.linalg.norm(sums[k])), 1e-9) for k in names]).reshape(len(names), SIZE)
     return LanguageModel(names, table)

@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` bytes. Each passage becomes a vec
 it, and a gated attention (tanh times sigmoid) weighs the passages; the weighted mean goes to one logistic output. Only the
 document has a label; the weights of passages are learned from it.
 
-The model is fitted on the driver by Adam, on at most ``sample`` labelled rows (the smallest by a hash of the id) of at most
-``fit_passages`` passages each, evenly spaced; scoring reads every passage of every document. A null or empty text is one
+The model is fitted on the driver by Adam, on at most ``sample`` labelled rows (the smallest by a hash of the id), each with at
+most ``fit_passages`` passages, evenly spaced over the whole text; scoring reads every passage of every document. A null or empty text is one
 passage without bytes and gets a score too. Rows without a usable label teach nothing; with no labels, or one label only, the
 score is the share of label 1 (0.5 without labels). Repeated rows are scored alike. Extra columns don't matter.
 """
@@ -133,13 +133,15 @@ class AttentionModel:
         return self.forward(*passages(block))["y"]
 
 
-def fit(block: C.Block, labels: np.ndarray, epochs: int = EPOCHS, fit_passages: int = FIT_PASSAGES, seed: int = 7) -> AttentionModel:
+def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> AttentionModel:
+    """A model from bags of passage vectors and their documents' labels."""
     if not len(labels) or labels.min() == labels.max():
         model = AttentionModel(np.zeros(N_FEATURES), np.ones(N_FEATURES))
         model.share = float(labels.mean()) if len(labels) else 0.5
         return model
-    x, first = passages(block)
-    picks = [np.unique(np.linspace(a, z - 1, min(fit_passages, z - a)).astype(int)) for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+    x = np.concatenate(bags)
+    ends = np.cumsum([len(b) for b in bags])
+    picks = [np.arange(z - len(b), z) for b, z in zip(bags, ends.tolist())]
     model = AttentionModel(x.mean(axis=0), x.std(axis=0) + 1e-3, seed)
     rng, weight = np.random.default_rng(seed), np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     weight = np.sqrt(weight)
@@ -161,17 +163,25 @@ def fit(block: C.Block, labels: np.ndarray, epochs: int = EPOCHS, fit_passages:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel:
-    """A model from at most ``sample`` labelled rows outside the held-out quarter; texts reach the driver in rows of Arrow."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_passages: int = FIT_PASSAGES) -> AttentionModel:
+    """A model from at most ``sample`` labelled rows outside the held-out quarter. Executors make the vectors of the passages, so
+    the driver gets ``fit_passages`` vectors a row, never a text."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the sample is bounded by ``sample`` rows, so it is broadcast; very long texts give up to 64 KB to fitting
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(F.col("text").cast("string"), 1, 65536).alias("text")).join(F.broadcast(chosen), "doc_id")
-    table = rows.toArrow()
-    at = np.argsort(np.asarray(table.column("doc_id")), kind="stable")
-    table = table.take(pa.array(at))
-    return fit(C.Block(table), np.asarray(table.column("label")).astype(np.float64))
+
+    def bags(batches):
+        for table in C.cut_batches(batches):
+            block = C.Block(table)
+            x, first = passages(block)
+            rows = [x[np.unique(np.linspace(a, z - 1, min(fit_passages, z - a)).astype(int))].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([block.id_column(), table.column("label").combine_chunks().take(pa.array(block.order)), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
+
+    # ``chosen`` has ``sample`` rows at most, so it is broadcast
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    found = rows.mapInArrow(bags, "doc_id long, label int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(sample).toArrow()
+    vectors = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES) for x in found.column("bag")]
+    return fit(vectors, np.asarray(found.column("label")).astype(np.float64))
 
 
 def quality_scores(docs: DataFrame, model: AttentionModel, threshold: float = THRESHOLD) -> DataFrame:
