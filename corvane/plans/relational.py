@@ -23,7 +23,7 @@ def _cents(c: str, scale: int = 2):
                    WHEN p.claimed IS NULL OR r.price IS NULL THEN 'unknown'
                    WHEN abs(p.claimed - r.price) <= 0.01 THEN 'ok' ELSE 'mismatch' END AS verdict
        FROM (SELECT p_partkey, p_brand, p_size, p_type, CAST(p_retailprice AS DECIMAL(18,2)) AS claimed FROM part) p
-       LEFT JOIN (SELECT p_brand, p_size, p_type, count(*) AS n, min(CAST(p_retailprice * CASE WHEN p_size > 40 THEN 1.05 ELSE 1 END AS DECIMAL(18,2))) AS price
+       LEFT JOIN (SELECT p_brand, p_size, p_type, count(*) AS n, min(CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(CASE WHEN p_size > 40 THEN '1.05' ELSE '1.00' END AS DECIMAL(3,2)) AS DECIMAL(18,2))) AS price
                   FROM part WHERE p_size > 5 GROUP BY ALL) r
        ON p.p_brand = r.p_brand AND p.p_size = r.p_size AND p.p_type = r.p_type"""
 )
@@ -31,7 +31,7 @@ def price_sheet_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet of all parts against a listing that leaves out the smallest and has other prices for the largest."""
     part = table(spark, sf_dir, "part")
     sheet = part.select("p_partkey", "p_brand", "p_size", "p_type", _cents("p_retailprice").alias("claimed"))
-    price = (F.col("p_retailprice") * F.when(F.col("p_size") > 40, F.lit(1.05)).otherwise(F.lit(1.0))).cast(CENT)
+    price = (F.col("p_retailprice").cast("decimal(12,2)") * F.when(F.col("p_size") > 40, "1.05").otherwise("1.00").cast("decimal(3,2)")).cast(CENT)
     listing = part.where("p_size > 5").select("p_brand", "p_size", "p_type", price.alias("price"))
     out = lookup.check_rows(sheet, listing, ["p_brand", "p_size", "p_type"], "claimed", "price", F.lit(0.01).cast(CENT))
     return out.select("p_partkey", "p_brand", "p_size", "claimed", "n_records", "found_price", "verdict")
@@ -54,7 +54,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18,2)) AS price, p_type AS kind FROM part WHERE p_size < 45),
-            n AS (SELECT p_partkey, CAST(p_retailprice * CASE WHEN p_size BETWEEN 20 AND 25 THEN 1.1 ELSE 1 END AS DECIMAL(18,2)) AS price,
+            n AS (SELECT p_partkey, CAST(CAST(p_retailprice AS DECIMAL(12,2)) * CAST(CASE WHEN p_size BETWEEN 20 AND 25 THEN '1.10' ELSE '1.00' END AS DECIMAL(3,2)) AS DECIMAL(18,2)) AS price,
                          CASE WHEN p_size = 30 THEN upper(p_type) || '!' ELSE p_type END AS kind FROM part WHERE p_size > 4)
        SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey,
               CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed'
@@ -67,7 +67,7 @@ def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     old = part.where("p_size < 45").select("p_partkey", _cents("p_retailprice").alias("price"), F.col("p_type").alias("kind"))
-    price = (F.col("p_retailprice") * F.when(F.col("p_size").between(20, 25), F.lit(1.1)).otherwise(F.lit(1.0))).cast(CENT)
+    price = (F.col("p_retailprice").cast("decimal(12,2)") * F.when(F.col("p_size").between(20, 25), "1.10").otherwise("1.00").cast("decimal(3,2)")).cast(CENT)
     kind = F.when(F.col("p_size") == 30, F.concat(F.upper("p_type"), F.lit("!"))).otherwise(F.col("p_type"))
     new = part.where("p_size > 4").select("p_partkey", price.alias("price"), kind.alias("kind"))
     return versions.diff(old, new, "p_partkey", ["price", "kind"])
