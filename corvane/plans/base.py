@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.functions import forms, normalise, patterns, writing
+from corvane.functions import forms, logs, names, normalise, patterns, writing
 from corvane.functions import text as X
-from corvane.operators import facts
+from corvane.operators import facts, redact
 from corvane.plans.registry import query, table
 
 
@@ -179,3 +179,21 @@ def detected_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes found in conversations, by role."""
     c = table(spark, sf_dir, "conversations").select("role", F.explode(patterns.spans(F.col("text"))).alias("s"))
     return c.groupBy("role", "s.cls").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def redacted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-pass redaction: names learned over all documents, then every text wiped."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return redact.redacted(d, "doc_id", redact.learn(d))
+
+
+@query()
+def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(names.candidate_spans(F.col("text"))).alias("s"))
+    return d.select("doc_id", "s.start", "s.end", "s.cls", "s.form")
+
+
+@query()
+def wiped_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", logs.wiped_log(F.col("text")).alias("wiped"))
