@@ -73,7 +73,11 @@ class Approximation:
             at = at[others[at]]
             score = self.vectors[at] @ query
             best = _best(self.ids[at], score, k)
-            rest = bound[np.setdiff1d(np.arange(len(bound)), at, assume_unique=False)].max(initial=-np.inf) if len(at) < n else -np.inf
+            rest = -np.inf
+            if len(at) < n:
+                unread = bound.copy()
+                unread[at] = -np.inf
+                rest = unread.max()
             if len(at) >= n or (len(best) == k and score[best[-1]] > rest):
                 return self.ids[at][best], score[best], len(at)
             take = min(len(bound), take * 4)
