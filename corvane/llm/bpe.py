@@ -12,7 +12,10 @@ their doc_id (also null), an empty table gives no rows, and extra columns don't
 from __future__ import annotations
 
 import json
+import mmap
 import os
+import re
+import struct
 import tempfile
 from collections import Counter
 
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from corvane.llm import common as C
 
 #: Entries of the lexicon, and words that one partition reports for it.
-LEXICON, REPORTED = 65536, 16384
+LEXICON, REPORTED = 131072, 32768
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 #: The published split of byte-level BPE: a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,44 +53,52 @@ class Merger:
         self.ids = {raw(t): i for t, i in model["vocab"].items() if t not in self.special}
         self.bytes = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.single = [self.ids.get(bytes([b]), -1) for b in range(256)]
+        #: By pair of ids (the first 2**20 times) its rank, and by rank the id that it makes.
+        self.rank = {self.ids[raw(a)] << 20 | self.ids[raw(b)]: k for k, (a, b) in enumerate(pairs)}
+        self.made = [self.ids[raw(a) + raw(b)] for a, b in pairs]
 
     def merge(self, word: bytes) -> list[int]:
-        parts = [word[i : i + 1] for i in range(len(word))]
-        if len(parts) > 256:
-            return self._merge_long(parts)
-        rank = self.rank
-        while len(parts) > 1:
-            best, at = 1 << 60, -1
-            for i in range(len(parts) - 1):
-                r = rank.get((parts[i], parts[i + 1]), 1 << 60)
-                if r < best:
-                    best, at = r, i
-            if at < 0:
+        """The pair with the lowest rank, the leftmost of equals, is merged until no pair has one. A merge changes two pairs only."""
+        ids = [self.single[b] for b in word]
+        if len(ids) > 256:
+            return self._merge_long(ids)
+        get, none = self.rank.get, len(self.made)
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ids[p] for p in parts]
+            at = ranks.index(best)
+            new = self.made[best]
+            ids[at : at + 2] = [new]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 20 | new, none)
+            if at < len(ranks):
+                ranks[at] = get(new << 20 | ids[at + 1], none)
+        return ids
 
-    def _merge_long(self, parts: list[bytes]) -> list[int]:
+    def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links: n log n for very long words."""
         import heapq
 
-        n = len(parts)
+        n, get = len(ids), self.rank.get
         after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := get(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else n
-            if j >= n or parts[i] != a or parts[j] != b:
+            if j >= n or ids[i] != a or ids[j] != b:
                 continue
-            parts[i], alive[j], after[i] = a + b, False, after[j]
+            ids[i], alive[j], after[i] = self.made[r], False, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] < n and (r := self.rank.get((parts[x], parts[after[x]]))) is not None:
-                    heapq.heappush(heap, (r, x, parts[x], parts[after[x]]))
-        return [self.ids[parts[i]] for i in range(n) if alive[i]]
+                if x >= 0 and after[x] < n and (r := get(ids[x] << 20 | ids[after[x]])) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[after[x]]))
+        return [ids[i] for i in range(n) if alive[i]]
 
 
 def compile_lexicon(words: list[bytes], outputs: list[list[int]]) -> dict[str, np.ndarray]:
@@ -145,14 +156,16 @@ class Lexicon:
     NAMES = ("first", "label", "target", "skip", "ends", "out", "ids")
 
     def __init__(self, path: str):
-        whole = np.memmap(path, np.uint8, "r")
-        head = whole[: 8 * 2 * len(self.NAMES)].view(np.int64).reshape(-1, 2)
-        for name, (at, n) in zip(self.NAMES, head.tolist()):
-            kind = {"label": np.uint8, "ends": np.uint8, "ids": np.uint32}.get(name, np.int32)
-            setattr(self, name, whole[at : at + n].view(kind))
+        with open(path, "rb") as f:
+            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        whole = memoryview(self.map)
+        head = whole[: 8 * 2 * len(self.NAMES)].cast("q").tolist()
+        at = dict(zip(self.NAMES, zip(head[::2], head[1::2])))
+        view = lambda name, kind: whole[at[name][0] : at[name][0] + at[name][1]].cast(kind)
+        self.first, self.target, self.skip, self.out = (view(n, "i") for n in ("first", "target", "skip", "out"))
+        self.ends = view("ends", "B")
+        self.label, self.ids = at["label"][0], at["ids"][0]
         self.root = len(self.ends) - 1
-        self.raw_label = memoryview(self.label)
-        self.views = [memoryview(getattr(self, n)) for n in ("first", "target", "skip", "ends", "out")]
 
     @classmethod
     def write(cls, arrays: dict[str, np.ndarray], path: str) -> None:
@@ -166,35 +179,46 @@ class Lexicon:
             f.write(np.array(head, np.int64).tobytes() + b"".join(body))
 
     def find(self, word: bytes) -> bytes | None:
-        """The ids of ``word``, four bytes each, or None."""
-        first, target, skip, ends, out = self.views
-        label, state, place = self.raw_label, self.root, 0
+        """The ids of ``word``, four bytes each, or None. Arcs are looked up in the map itself."""
+        first, target, skip, find, base = self.first, self.target, self.skip, self.map.find, self.label
+        state, place = self.root, 0
         for byte in word:
-            lo, hi = first[state], first[state + 1]
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < byte:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == first[state + 1] or label[lo] != byte:
+            arc = find(_BYTE[byte], base + first[state], base + first[state + 1]) - base
+            if arc < 0:
                 return None
-            place += skip[lo]
-            state = target[lo]
-        return self.ids[out[place] : out[place + 1]].tobytes() if ends[state] else None
+            place += skip[arc]
+            state = target[arc]
+        if not self.ends[state]:
+            return None
+        return self.map[self.ids + 4 * self.out[place] : self.ids + 4 * self.out[place + 1]]
+
+
+_BYTE = [bytes([b]) for b in range(256)]
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON, reported: int = REPORTED) -> list[bytes]:
     """Words that occur most in all documents. A partition reports its ``reported`` commonest; what falls below costs speed only."""
 
     def counted(batches):
-        split, words = regex.compile(SPLIT), Counter()
+        split, pieces, words = regex.compile(SPLIT), Counter(), Counter()
+
+        def settle() -> None:
+            # a piece's words are found once, however often it occurs; pieces met once so far can't be frequent
+            for piece, n in pieces.items():
+                if n > 1:
+                    for w in split.findall(" " + piece):
+                        words[w] += n
+            pieces.clear()
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if text:
-                    words.update(split.findall(text))
+                    pieces.update(text.split(" "))
+            if len(pieces) > 16 * reported:
+                settle()
             if len(words) > 32 * reported:
                 words = Counter(dict(words.most_common(8 * reported)))
+        settle()
         top = [(w, n) for w, n in words.most_common(reported) if len(w) <= 64]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
 
@@ -206,23 +230,61 @@ def frequent_words(docs: DataFrame, size: int = LEXICON, reported: int = REPORTE
 class _Known(dict):
     """Ids by word, four bytes each: from the lexicon, or merged. Emptied when it has ``limit`` words."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, limit: int = 200_000):
+    def __init__(self, lexicon: Lexicon, merger: Merger, limit: int = 100_000):
         super().__init__()
         self.lexicon, self.merger, self.limit = lexicon, merger, limit
 
-    def __missing__(self, word: str) -> bytes:
+    def ids_of(self, word: str) -> bytes:
         raw = word.encode()
         ids = self.lexicon.find(raw)
         if ids is None:
-            ids = np.array(self.merger.merge(raw), np.uint32).tobytes()
+            merged = self.merger.merge(raw)
+            ids = struct.pack(f"<{len(merged)}I", *merged)
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.ids_of(word)
         if len(self) >= self.limit:
             self.clear()
         self[word] = ids
         return ids
 
 
-#: One worker's lexicon, merger and words, kept between its tasks.
-_KNOWN: dict[str, _Known] = {}
+class _Pieces(dict):
+    """Ids by piece: what stands between two single blanks, with the blank before it.
+
+    The published split never takes a blank in the middle of a match where other characters stand on both sides, so a text cut
+    at such blanks is encoded piece by piece. Emptied when it has ``limit`` pieces.
+    """
+
+    def __init__(self, known: _Known, limit: int = 1_000_000):
+        super().__init__()
+        self.known, self.limit, self.split = known, limit, regex.compile(SPLIT)
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        # letters alone, with the blank before them, are one word of the split
+        ids = self[piece] = self.known.ids_of(" " + piece) if piece.isalpha() else self.whole(" " + piece)
+        return ids
+
+
+_RUN = re.compile(r"\s\s|^\s|\s$")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def encoded_text(text: str, pieces: _Pieces) -> bytes:
+    if not text:
+        return b""
+    cut = text.split(" ") if _RUN.search(text) is None else _CUT.split(text)
+    return pieces.whole(cut[0]) + b"".join(map(pieces.__getitem__, cut[1:]))
+
+
+#: One worker's lexicon, merger and pieces, kept between its tasks.
+_KNOWN: dict[str, _Pieces] = {}
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXICON) -> DataFrame:
@@ -241,10 +303,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXI
     def encoded(batches):
         if name not in _KNOWN:
             _KNOWN.clear()
-            _KNOWN[name] = _Known(Lexicon(SparkFiles.get(name)), Merger(json.loads(spec.value)))
-        known = _KNOWN[name]
-        exact = known.merger
-        split = regex.compile(SPLIT)
+            _KNOWN[name] = _Pieces(_Known(Lexicon(SparkFiles.get(name)), Merger(json.loads(spec.value))))
+        pieces = _KNOWN[name]
+        exact = pieces.known.merger
         special = regex.compile("(" + "|".join(map(regex.escape, exact.special)) + ")") if exact.special else None
         table = [exact.bytes.get(i, b"") for i in range(max(exact.bytes) + 1)]
         for batch in batches:
@@ -254,10 +315,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXI
                 for text in part.column("text").to_pylist():
                     text = text or ""
                     if special is not None and special.search(text):
-                        pieces = [np.uint32(exact.special[p]).tobytes() if p in exact.special else b"".join(map(known.__getitem__, split.findall(p))) for p in special.split(text)]
-                        ids = b"".join(pieces)
+                        ids = b"".join(np.uint32(exact.special[p]).tobytes() if p in exact.special else encoded_text(p, pieces) for p in special.split(text))
                     else:
-                        ids = b"".join(map(known.__getitem__, split.findall(text)))
+                        ids = encoded_text(text, pieces)
                     all_ids.append(ids)
                     counts.append(len(ids) // 4)
                     texts.append(b"".join(map(table.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace"))

@@ -312,3 +312,21 @@ def test_sketch_algebra(spark):
     assert abs(r.j - 196 / 596) < 0.2 and abs(r["in"] - 196 / 396) < 0.25 and 250 < r.n < 600
     parts = spark.createDataFrame([(1, [1, 5]), (1, [2, 5]), (2, [7])], "k int, s array<bigint>")
     assert {x.k: x.s for x in fingerprints.merge_parts(parts, ["k"], "s", 2).collect()} == {1: [1, 2], 2: [7]}
+
+
+def test_pieces_encode_as_the_whole():
+    import json
+    import random
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        merger = bpe.Merger(json.load(f))
+    pieces = bpe._Pieces(bpe._Known(type("None_", (), {"find": lambda self, word: None})(), merger))
+    exact, rng = Tokenizer.from_file(path), random.Random(1)
+    parts = [" ", "  ", "\n", "\t", " ", "　", "a", "bc", "'s", "'ll", "12", "!", "..", "é", "漢", "🙂", "\r\n", "\x0b", "\x85", "X", "don't", "z" * 300]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(bpe.encoded_text(text, pieces), np.uint32).tolist() == exact.encode(text, add_special_tokens=False).ids
