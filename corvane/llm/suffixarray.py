@@ -38,7 +38,8 @@ SENT = 5
 #: A seed that more blocks than this hold is dealt over six ranges of places.
 HOT_BLOCKS = 32
 RANGES = ((0, 2), (3, 5), (6, 12), (13, 19), (20, 22), (23, 26))
-CHUNK = 8
+#: A symbol of the suffix arrays is what stands between two of these places behind a seed's start; the first is the seed itself.
+CUTS = (0, SEED, 37, LENGTH)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -58,30 +59,38 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     top = n
     while top:
         low = head[order[top - 1]]
-        grown: dict[int, int] = {}
-        if top - low == 1:
+        if top - low == 1:  # a group of one moves one suffix at most
             i = order[low]
             j = i - 1
             while j >= 0 and head[j] >= low:
                 j = smaller[j]
             smaller[i] = j
+            top = low
             if j >= 0:
-                grown[j] = 1
-            most = 1
-        else:
-            most = 1
-            for i in sorted(order[low:top]):
-                j = i - 1
-                while j >= 0 and head[j] >= low:
-                    j = smaller[j]
-                smaller[i] = j
-                if j >= 0:
-                    if j in grown:
-                        grown[j] = c = grown[j] + 1
-                        if c > most:
-                            most = c
-                    else:
-                        grown[j] = 1
+                old = head[j]
+                total = size[old]
+                if total > 1:
+                    end, p = old + total - 1, place[j]
+                    other = order[end]
+                    order[p], place[other] = other, p
+                    order[end], place[j] = j, end
+                    head[j] = end
+                    size[end], size[old] = 1, total - 1
+            continue
+        grown: dict[int, int] = {}
+        most = 1
+        for i in sorted(order[low:top]):
+            j = i - 1
+            while j >= 0 and head[j] >= low:
+                j = smaller[j]
+            smaller[i] = j
+            if j >= 0:
+                if j in grown:
+                    grown[j] = c = grown[j] + 1
+                    if c > most:
+                        most = c
+                else:
+                    grown[j] = 1
         top = low
         for times in range(most, 0, -1):
             parts: dict[int, list[int]] = {}
@@ -118,26 +127,32 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
 
 
 def _sorted_seeds(right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Order of the rows of ``right`` (bytes, zeros behind each row's length), from the suffix array of all rows end to end.
+    """Order of the rows of ``right`` (bytes, zeros behind each row's length), from the suffix array of all distinct rows end to end.
 
-    A symbol is the rank of eight bytes; rows end in the smallest symbol, so a row comes before its own extensions.
+    A symbol is the rank of the bytes between two cuts; rows end in the smallest symbol, so a row comes before its own extensions.
     """
-    n, width = right.shape
-    cols = -(-width // CHUNK)
-    full = np.zeros((n, cols * CHUNK), np.uint8)
-    full[:, :width] = right
-    values = full.reshape(n, cols, CHUNK).view(">u8")[:, :, 0].astype(np.uint64)
-    used = np.arange(cols)[None, :] * CHUNK < lengths[:, None]
-    ranks = np.unique(values[used], return_inverse=True)[1] + 2
-    table = np.ones((n, cols + 1), np.int64)
-    table[:, :cols][used] = ranks
-    keep = np.concatenate([used, np.ones((n, 1), bool)], axis=1)
+    digest = C.mixed((right.astype(np.uint64) * C._TABLES[1][: right.shape[1]]).sum(axis=1, dtype=np.uint64) + lengths.astype(np.uint64))
+    _, first_row, back = np.unique(digest, return_index=True, return_inverse=True)
+    if not ((right == right[first_row][back]).all() and (lengths == lengths[first_row][back]).all()):
+        first_row = back = np.arange(len(right))  # two rows of one digest: all rows are sorted
+    one, n_one = right[first_row], lengths[first_row]
+    wide = max(z - a for a, z in zip(CUTS, CUTS[1:]))
+    used = np.stack([n_one > a for a in CUTS[:-1]], axis=1)
+    pieces = np.zeros((len(one), len(CUTS) - 1, wide), np.uint8)
+    for k, (a, z) in enumerate(zip(CUTS, CUTS[1:])):
+        pieces[:, k, : z - a] = one[:, a:z]
+    ranks = np.unique(np.ascontiguousarray(pieces[used]).view(f"V{wide}")[:, 0], return_inverse=True)[1] + 2
+    table = np.ones((len(one), len(CUTS)), np.int64)
+    table[:, :-1][used] = ranks
+    keep = np.concatenate([used, np.ones((len(one), 1), bool)], axis=1)
     symbols = np.append(table[keep], 0)
-    first = np.r_[0, np.cumsum(keep.sum(axis=1))[:-1]]
     row_of = np.full(len(symbols), -1, np.int64)
-    row_of[first] = np.arange(n)
+    row_of[np.r_[0, np.cumsum(keep.sum(axis=1))[:-1]]] = np.arange(len(one))
     rows = row_of[np.array(suffix_array(symbols.tolist()), np.int64)]
-    return rows[rows >= 0]
+    rows = rows[rows >= 0]
+    rank = np.empty(len(one), np.int64)
+    rank[rows] = np.arange(len(one))
+    return np.argsort(rank[back], kind="stable")
 
 
 def smallest_sharing(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, ids: np.ndarray) -> np.ndarray:
