@@ -21,6 +21,8 @@ from corvane.llm import common as C
 from corvane.llm.quality import held_out
 
 SIZE, SAMPLE, SEED = 512, 4000, 11
+#: Texts that are bundled in one product.
+CHUNK = 64
 UNKNOWN = "und"
 _LETTER: dict[int, int] = {}
 _VECTORS: dict[int, np.ndarray] = {}
@@ -71,30 +73,39 @@ def bound(keys: np.ndarray) -> np.ndarray:
 
 
 class Trigrams:
-    """Trigram vectors made once for the trigrams met so far; beyond ``limit`` they are made anew."""
+    """Bundles of texts. Trigram vectors met before are kept, ``limit`` of them at most."""
 
-    def __init__(self, limit: int = 20000):
+    def __init__(self, limit: int = 16384):
         self.limit, self.keys, self.rows = limit, np.zeros(0, np.int64), np.zeros((0, SIZE), np.float32)
 
-    def bundle(self, text: str) -> np.ndarray | None:
-        if text is None or not any(map(str.isalpha, text)):
-            return None
-        keys, counts = _trigrams(text)
-        at = np.searchsorted(self.keys, keys)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == keys[known]
-        if not known.all():
-            fresh = keys[~known]
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Vectors of at most ``limit`` sorted trigrams."""
+        fresh = np.setdiff1d(keys, self.keys, assume_unique=True)
+        if len(fresh):
             if len(self.keys) + len(fresh) > self.limit:
-                if len(keys) > self.limit:  # a text with more kinds than that: in pieces
-                    return sum(counts[i : i + self.limit].astype(np.float32) @ bound(keys[i : i + self.limit]) for i in range(0, len(keys), self.limit))
-                self.keys, self.rows = np.zeros(0, np.int64), np.zeros((0, SIZE), np.float32)
-                fresh = keys
-            joined = np.concatenate([self.keys, fresh])
-            order = np.argsort(joined)
-            self.keys, self.rows = joined[order], np.concatenate([self.rows, bound(fresh)])[order]
-            at = np.searchsorted(self.keys, keys)
-        return counts.astype(np.float32) @ self.rows[at]
+                self.keys, self.rows = keys, bound(keys)
+            else:
+                joined = np.concatenate([self.keys, fresh])
+                order = np.argsort(joined)
+                self.keys, self.rows = joined[order], np.concatenate([self.rows, bound(fresh)])[order]
+        return self.rows[np.searchsorted(self.keys, keys)]
+
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """A vector for each text, and whether it has a letter. Counts by text and trigram times vectors by trigram: one product
+        for all texts."""
+        has = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+        found = [_trigrams(t) if ok else None for t, ok in zip(texts, has)]
+        out = np.zeros((len(texts), SIZE), np.float32)
+        every = np.unique(np.concatenate([k for k, _ in filter(None, found)])) if has.any() else np.zeros(0, np.int64)
+        for at in range(0, len(every), self.limit):
+            part = every[at : at + self.limit]
+            counts = np.zeros((len(texts), len(part)), np.float32)
+            for i in np.flatnonzero(has):
+                keys, n = found[i]
+                lo, hi = np.searchsorted(keys, part[0]), np.searchsorted(keys, part[-1], side="right")
+                counts[i, np.searchsorted(part, keys[lo:hi])] = n[lo:hi]
+            out += counts @ self._rows(part)
+        return out, has
 
 
 class LanguageModel:
@@ -106,16 +117,16 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None], cache: Trigrams) -> tuple[list[str], np.ndarray]:
         out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            v = cache.bundle(text) if self.names else None
-            if v is None:
-                continue
-            v = v / max(float(np.linalg.norm(v)), 1e-9)
-            if len(self.names) > 1:
-                v = v - self.mean
-            cosine = self.prototypes @ v / max(float(np.linalg.norm(v)), 1e-9)
-            k = int(np.argmax(cosine))
-            out[i], score[i] = self.names[k], min(1.0, max(0.0, (float(cosine[k]) + 1) / 2))
+        if not self.names:
+            return out, score
+        v, has = cache.bundles(texts)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        if len(self.names) > 1:
+            v = v - self.mean
+        cosine = (v @ self.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        for i in np.flatnonzero(has):
+            k = int(np.argmax(cosine[i]))
+            out[i], score[i] = self.names[k], min(1.0, max(0.0, (float(cosine[i, k]) + 1) / 2))
         return out, score
 
 
@@ -130,8 +141,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     def bundled(batches):
         cache = Trigrams()
         for batch in batches:
-            made = [(i, lang, cache.bundle(t)) for i, lang, t in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist())]
-            made = [(i, lang, v.astype(np.float32).tobytes()) for i, lang, v in made if v is not None]
+            made = []
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
+                v, has = cache.bundles(part.column("text").to_pylist())
+                made += [(i, lang, x.tobytes()) for i, lang, x, ok in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), v, has) if ok]
             yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.binary()))], names=["doc_id", "lang", "v"])
 
     rows = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(bundled, "doc_id long, lang string, v binary")
@@ -150,8 +164,8 @@ def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predicted(batches):
         cache = Trigrams()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(at, CHUNK)
                 names, score = model.predict(part.column("text").to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
@@ -162,11 +176,14 @@ def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, with a language found at a score of ``least`` or more (0.5: a cosine of 0)."""
-    kept = {}
+    kept: dict[str, Trigrams] = {}
 
     def score(text: pa.Array) -> pa.Array:
         cache = kept.setdefault("cache", Trigrams())
-        names, found = model.predict(text.to_pylist(), cache)
-        return pa.array(np.where(np.array([n == UNKNOWN for n in names], bool), -1.0, found) if len(names) else np.zeros(0), pa.float64())
+        out = []
+        for at in range(0, len(text), CHUNK):
+            names, found = model.predict(text.slice(at, CHUNK).to_pylist(), cache)
+            out.append(np.where(np.array([n == UNKNOWN for n in names], bool), -1.0, found))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
 
     return docs.where(C.arrow_column(score, "double")(F.col("text").cast("string")) >= least)
