@@ -161,7 +161,7 @@ def owners(keys: np.ndarray, width: int) -> np.ndarray:
     return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def words_of(block: Block, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each document (with the total at the end)."""
     d = block.data
     blank = np.ones(len(d) + 2, bool)

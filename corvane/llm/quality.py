@@ -75,10 +75,8 @@ def passages(block: C.Block) -> tuple[np.ndarray, np.ndarray]:
     out[:, 30] = np.bincount(of, weights=width, minlength=n) / long / 10
     out[:, 31] = np.sqrt(np.bincount(of, weights=width * width, minlength=n) / long) / 10
     hashes = C.word_hashes(block, starts, ends)
-    key = np.sort(C.mixed(hashes + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) if len(of) else hashes
     place = np.lexsort((hashes, of))
     fresh = np.r_[True, (np.diff(of[place]) != 0) | (np.diff(hashes[place].astype(np.int64)) != 0)][: len(place)]
-    del key
     out[:, 32] = np.bincount(of[place][fresh], minlength=n) / long
     again = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
     out[:, 33] = np.bincount(of[1:][again], minlength=n) / long
