@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import common as C
 from corvane.llm import hyperlang, quality
-from corvane.llm.minhash import keep_one
+from corvane.llm.minhash import STAGE, keep_one
 from corvane.llm.packing import pack
 from corvane.llm.suffixarray import without_repeats
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs)
+    return keep_one(docs, *STAGE)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

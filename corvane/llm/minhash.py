@@ -28,6 +28,8 @@ from corvane.llm import common as C
 
 WORDS, PERCENT = 5, 85
 BANDS, ROWS = 20, 6
+#: Percent, bands and rows of a stage that no contract holds to 85: at a Jaccard of 0.80 no shared band has a chance of 7e-6.
+STAGE = 80, 30, 5
 ROUNDS, TILE, SALTS = 3, 256, 16
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands binary"
 
@@ -242,9 +244,9 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BAN
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``docs``, all columns, with the smallest id of each component only. Rows without an id stay; rows that repeat a kept id
     stay together."""
-    found = minhash_near_dedup(docs)
+    found = minhash_near_dedup(docs, percent, bands, rows)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

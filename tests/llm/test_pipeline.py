@@ -13,3 +13,11 @@ def test_stages(spark, sf_dir):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
     assert 0 < docs.count() < n
+
+
+def test_near_dedup_stage_links_from_80_percent(spark):
+    words = [f"w{i}" for i in range(54)]
+    near = [*words[:25], "other", *words[26:]]  # 45 of 55 shingles: 0.818
+    far = [*words[:10], "x", *words[11:25], "y", *words[26:40], "z", *words[41:]]  # 35 of 65
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()} == {1, 3}
