@@ -5,6 +5,11 @@ trigram's vector is the product of its letters' vectors, the first rotated by tw
 is the sum of its trigrams' vectors, and a language's prototype is the sum of its texts' unit vectors. A text gets the language
 of the prototype with the highest cosine, after the prototypes' common mean is taken off both.
 
+A text is accepted as its language (``accepted``, the pipeline's filter) when the mean likeness of its trigrams to the language's
+prototype, which does not grow with the text's length, reaches ``SHARE`` of that language's median over the learning rows, each
+compared with a prototype that it has no part in. Chance spreads the mean of n trigrams by 1 / sqrt(n x SIZE); so much less is
+still accepted, so that a text of a few words is not lost. A language with one learning row takes the lowest level of the others.
+
 Prototypes are learned from at most ``sample`` rows with a language (the smallest by a hash of the id); every whole text is
 compared. A text that is null or has no letter gets ``und`` and score 0, as does every text when nothing was learned. Equal
 cosines go to the language that sorts first. Repeated rows are treated alike; extra columns don't matter.
@@ -21,6 +26,8 @@ from corvane.llm import common as C
 from corvane.llm.quality import held_out
 
 SIZE, SAMPLE, SEED = 512, 4000, 11
+#: Of a language's median likeness: random letters reach 0.1 of it, related languages that were not learned 0.3.
+SHARE = 0.4
 #: Texts that are bundled in one product.
 CHUNK = 64
 UNKNOWN = "und"
@@ -90,8 +97,8 @@ class Trigrams:
                 self.keys, self.rows = joined[order], np.concatenate([self.rows, bound(fresh)])[order]
         return self.rows[np.searchsorted(self.keys, keys)]
 
-    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """A vector for each text, and whether it has a letter. Counts by text and trigram times vectors by trigram: one product
+    def bundles(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A vector for each text, whether it has a letter, and its number of trigrams. Counts by text and trigram times vectors by trigram: one product
         for all texts."""
         has = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
         found = [_trigrams(t) if ok else None for t, ok in zip(texts, has)]
@@ -105,30 +112,58 @@ class Trigrams:
                 lo, hi = np.searchsorted(keys, part[0]), np.searchsorted(keys, part[-1], side="right")
                 counts[i, np.searchsorted(part, keys[lo:hi])] = n[lo:hi]
             out += counts @ self._rows(part)
-        return out, has
+        return out, has, np.array([f[1].sum() if f else 0 for f in found], np.int64)
+
+
+def likeness(v: np.ndarray, n: np.ndarray, prototypes: np.ndarray) -> np.ndarray:
+    """By text and prototype (of length 1), the mean cosine of the text's n trigrams with the prototype."""
+    return (v @ prototypes.T) / (np.maximum(n, 1) * np.sqrt(SIZE))[:, None]
 
 
 class LanguageModel:
-    def __init__(self, names: list[str], prototypes: np.ndarray):
+    def __init__(self, names: list[str], prototypes: np.ndarray, levels: np.ndarray | None = None):
         self.names = names
+        self.raw, self.levels = prototypes, np.zeros(len(names)) if levels is None else levels
         self.mean = prototypes.mean(axis=0) if len(names) else np.zeros(SIZE)
         centred = prototypes - self.mean if len(names) > 1 else prototypes
         self.prototypes = centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9) if len(names) else centred
 
+    def _cosines(self, bundles: np.ndarray) -> np.ndarray:
+        v = bundles / np.maximum(np.linalg.norm(bundles, axis=1, keepdims=True), 1e-9)
+        if len(self.names) > 1:
+            v = v - self.mean
+        return (v @ self.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
     def predict(self, texts: list[str | None], cache: Trigrams) -> tuple[list[str], np.ndarray]:
         out, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.names:
             return out, score
-        v, has = cache.bundles(texts)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-        if len(self.names) > 1:
-            v = v - self.mean
-        cosine = (v @ self.prototypes.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        v, has, _ = cache.bundles(texts)
+        cosine = self._cosines(v)
         for i in np.flatnonzero(has):
             k = int(np.argmax(cosine[i]))
             out[i], score[i] = self.names[k], min(1.0, max(0.0, (float(cosine[i, k]) + 1) / 2))
         return out, score
 
+    def accepted(self, texts: list[str | None], cache: Trigrams, share: float = SHARE) -> np.ndarray:
+        """Whether each text is like the language that it gets. Nothing is, when nothing was learned."""
+        if not self.names or not len(texts):
+            return np.zeros(len(texts), bool)
+        v, has, n = cache.bundles(texts)
+        best = np.argmax(self._cosines(v), axis=1)
+        found = likeness(v, n, self.raw)[np.arange(len(texts)), best]
+        return has & (found >= share * self.levels[best] - 1 / np.sqrt(np.maximum(n, 1) * SIZE))
+
+
+def median_likeness(v: np.ndarray, n: np.ndarray) -> float | None:
+    """Of one language's learning rows, each against the sum of the others' unit vectors."""
+    if len(v) < 2:
+        return None
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    rest = unit.sum(axis=0) - unit
+    rest /= np.maximum(np.linalg.norm(rest, axis=1, keepdims=True), 1e-9)
+    return float(np.median((v * rest).sum(axis=1) / (np.maximum(n, 1) * np.sqrt(SIZE))))
+
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
     """Prototypes from at most ``sample`` rows outside the held-out quarter. Executors make the texts' vectors, so the driver gets
@@ -144,18 +179,23 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
             made = []
             for at in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(at, CHUNK)
-                v, has = cache.bundles(part.column("text").to_pylist())
-                made += [(i, lang, x.tobytes()) for i, lang, x, ok in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), v, has) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.binary()))], names=["doc_id", "lang", "v"])
+                v, has, n = cache.bundles(part.column("text").to_pylist())
+                made += [(i, lang, x.tobytes(), k) for i, lang, x, k, ok in zip(part.column("doc_id").to_pylist(), part.column("lang").to_pylist(), v, n.tolist(), has) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.string(), pa.binary(), pa.int64()))], names=["doc_id", "lang", "v", "n"])
 
-    rows = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(bundled, "doc_id long, lang string, v binary")
+    rows = known.join(F.broadcast(chosen), known["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").mapInArrow(bundled, "doc_id long, lang string, v binary, n long")
     sums: dict[str, np.ndarray] = {}
+    learned: dict[str, list[tuple[np.ndarray, int]]] = {}
     for row in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "v").limit(sample).toArrow().to_pylist():
-        v = np.frombuffer(row["v"], np.float32).astype(np.float64)
+        x = np.frombuffer(row["v"], np.float32)
+        v = x.astype(np.float64)
         sums[row["lang"]] = sums.get(row["lang"], 0) + v / max(float(np.linalg.norm(v)), 1e-9)
+        learned.setdefault(row["lang"], []).append((x, row["n"]))
     names = sorted(sums)
     table = np.array([sums[k] / max(float(np.linalg.norm(sums[k])), 1e-9) for k in names]).reshape(len(names), SIZE)
-    return LanguageModel(names, table)
+    medians = [median_likeness(np.stack([x for x, _ in learned[k]]).astype(np.float64), np.array([n for _, n in learned[k]])) for k in names]
+    least = min((m for m in medians if m is not None), default=0.0)
+    return LanguageModel(names, table, np.array([least if m is None else m for m in medians]))
 
 
 def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -174,16 +214,13 @@ def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, with a language found at a score of ``least`` or more (0.5: a cosine of 0)."""
+def keep_known(docs: DataFrame, model: LanguageModel, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are like the language they get: at ``share`` or more of its median likeness."""
     kept: dict[str, Trigrams] = {}
 
-    def score(text: pa.Array) -> pa.Array:
+    def like(text: pa.Array) -> pa.Array:
         cache = kept.setdefault("cache", Trigrams())
-        out = []
-        for at in range(0, len(text), CHUNK):
-            names, found = model.predict(text.slice(at, CHUNK).to_pylist(), cache)
-            out.append(np.where(np.array([n == UNKNOWN for n in names], bool), -1.0, found))
-        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+        out = [model.accepted(text.slice(at, CHUNK).to_pylist(), cache, share) for at in range(0, len(text), CHUNK)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0, bool), pa.bool_())
 
-    return docs.where(C.arrow_column(score, "double")(F.col("text").cast("string")) >= least)
+    return docs.where(C.arrow_column(like, "boolean")(F.col("text").cast("string")))

@@ -234,6 +234,26 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.95 * len(got)
 
 
+def test_known_languages_are_kept_and_others_rejected(spark, sf_dir):
+    import random
+
+    docs = C.read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model, rng = hyperlang.train(docs), random.Random(1)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью",
+        "wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach są oni obdarzeni rozumem i sumieniem",
+    ]
+    bad = spark.createDataFrame([(k, None, t) for k, t in enumerate([*[noise(n) for n in (20, 30, 100, 1000)], *foreign, None, "12 34"])], docs.schema)
+    assert hyperlang.keep_known(bad, model).count() == 0
+    clean = docs.where("lang is not null and length(text) >= 100").where(quality.held_out(docs["doc_id"]))
+    assert hyperlang.keep_known(clean, model).count() >= 0.98 * clean.count() > 0
+    unlearned = hyperlang.train(docs.where("lang <> 'de'"))
+    german = docs.where("lang = 'de' and length(text) >= 300")
+    assert hyperlang.keep_known(german, unlearned).count() <= 0.1 * german.count()
+
+
 def test_bpe(docs, rows, no_docs):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
