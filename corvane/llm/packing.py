@@ -4,9 +4,10 @@ The histogram of all lengths goes to a dynamic programme, which chooses at most
 document up to its bucket's bound costs the fewest tokens. Inside a bucket of bound b, documents are taken in a fixed order and
 every floor(budget / b) of them (one at least) are a batch, which so holds ``budget`` tokens at most after padding.
 
-A length is the number of words (maximal runs of anything but ASCII white space). The histogram is exact for lengths under 512;
-above, a bin is 1/256 of its power of two, so it has at most 512 + 128 x 22 = 3,328 bins for any table, and a bin's bound is the
-longest length in it. The optimum is exact over these bins. A document longer than the budget is a batch of its own.
+A length is the number of words (maximal runs of anything but ASCII white space). The histogram has every distinct length, and the
+optimum is exact: k distinct lengths need k (k - 1) / 2 words, so a table of W words has at most sqrt(2 W) + 1 of them (some 110,000
+for 30 GB). The cost of a bucket is Monge, so the best cut moves one way with the length, and the programme takes ``buckets`` x k x
+log k steps. A document longer than the budget is a batch of its own.
 
 Ranks are taken in sub-ranges of the id's hash, so a bucket with most of the documents is no single task. A null text has
 length 0; null ids and rows that repeat an id are placed like any others. Equal optima go to the larger last bucket. An empty
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from corvane.llm import common as C
 
 BUCKETS, BUDGET = 16, 32768
-EXACT = 512
+FAR = 1 << 62
 
 
 def word_count(text: Column) -> Column:
@@ -31,10 +32,26 @@ def word_count(text: Column) -> Column:
     return F.length(F.translate(letters, " \t\n\x0b\x0c\r", "")).cast("long")
 
 
-def bin_of(length: Column) -> Column:
-    power = F.floor(F.log2(F.greatest(length, F.lit(1)).cast("double")))
-    step = F.pow(F.lit(2.0), F.greatest(power - 7, F.lit(0))).cast("long")
-    return F.when(length < EXACT, length).otherwise(F.floor(length / step) * step).cast("long")
+def _layer(best: np.ndarray, lengths: np.ndarray, docs: np.ndarray, tokens: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least padding of the first j lengths in b buckets and the smallest best cut, from ``best`` in b - 1 buckets. Divide and
+    conquer: a middle j is solved over the cuts that its neighbours leave, all the middles of one depth at once."""
+    n = len(lengths)
+    new, back = np.full(n + 1, FAR), np.zeros(n + 1, np.int64)
+    low, high, least, most = (np.array([x]) for x in (b, n, b - 1, n - 1))
+    while len(low):
+        j = (low + high) // 2
+        size = np.minimum(most, j - 1) - least + 1
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        of = np.repeat(np.arange(len(j)), size)
+        i, to = np.arange(len(of)) - (start - least)[of], j[of]
+        cost = best[i] + lengths[to - 1] * (docs[to] - docs[i]) - (tokens[to] - tokens[i])
+        new[j] = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == new[to])
+        cut = back[j] = i[hit[np.unique(of[hit], return_index=True)[1]]]
+        low, high, least, most = np.r_[low, j + 1], np.r_[j - 1, high], np.r_[least, cut], np.r_[cut, most]
+        left = low <= high
+        low, high, least, most = low[left], high[left], least[left], most[left]
+    return new, back
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -42,18 +59,14 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     n = len(lengths)
     if n == 0:
         return []
-    docs, tokens = np.r_[0, np.cumsum(counts)].astype(np.float64), np.r_[0, np.cumsum(counts * lengths)].astype(np.float64)
+    lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
+    docs, tokens = np.r_[0, np.cumsum(counts)], np.r_[0, np.cumsum(counts * lengths)]
     buckets = min(buckets, n)
     # best[j]: least padding of the first j lengths; the padding of i .. j-1 is lengths[j-1] * docs - tokens
-    best = np.r_[0.0, np.full(n, np.inf)]
+    best = np.r_[0, np.full(n, FAR)]
     back = np.zeros((buckets + 1, n + 1), np.int64)
     for b in range(1, buckets + 1):
-        new = np.full(n + 1, np.inf)
-        for j in range(b, n + 1):
-            cost = best[:j] + lengths[j - 1] * (docs[j] - docs[:j]) - (tokens[j] - tokens[:j])
-            i = int(np.argmin(cost))
-            new[j], back[b, j] = cost[i], i
-        best = new
+        best, back[b] = _layer(best, lengths, docs, tokens, b)
     out, j = [], n
     for b in range(buckets, 0, -1):
         out.append(int(lengths[j - 1]))
@@ -67,9 +80,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataF
     """doc_id, n_tokens, bucket (its bound), batch, place, padding of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = C.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("n_tokens")), "lengths")
-    bins = rows.groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("length"), F.count(F.lit(1)).alias("n"))
-    found = sorted((r["length"], r["n"]) for r in bins.collect())  # 3,328 rows at most, see above
-    bounds = best_bounds(np.array([x for x, _ in found], np.int64), np.array([n for _, n in found], np.int64), buckets)
+    found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()  # sqrt(2 W) rows, see above
+    bounds = best_bounds(np.asarray(found.column("n_tokens")), np.asarray(found.column("n")), buckets)
     if not bounds:
         bounds = [0]
     bound = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("long")

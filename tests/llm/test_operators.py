@@ -177,6 +177,27 @@ def test_bounds_are_optimal(hist, buckets):
     assert len(got) <= buckets and cost(got) == best
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 3, 5, 16])
+def test_bounds_over_many_lengths_are_optimal(buckets):
+    rng = np.random.default_rng(buckets)
+    lengths = np.sort(rng.choice(6000, 150, replace=False))
+    counts = rng.integers(1, 9, 150)
+    best = np.r_[0, np.full(150, 1 << 60)]
+    for _ in range(buckets):
+        best = np.array([0, *[min(best[i] + int(((lengths[j - 1] - lengths[i:j]) * counts[i:j]).sum()) for i in range(j)) for j in range(1, 151)]])
+    got = np.array(packing.best_bounds(lengths, counts, buckets))
+    assert len(got) == buckets and int(((got[np.searchsorted(got, lengths)] - lengths) * counts).sum()) == best[-1]
+
+
+def test_packing_is_optimal_over_long_texts(spark):
+    from itertools import combinations
+
+    hist = {1024: 3, 1027: 9, 1029: 1, 1031: 8, 1033: 1, 1038: 7, 1041: 2, 1100: 4}
+    docs = spark.createDataFrame([(100 * k + i, "w " * x) for k, (x, n) in enumerate(hist.items()) for i in range(n)], "doc_id long, text string")
+    cost = lambda bounds: sum(n * (min(b for b in bounds if b >= x) - x) for x, n in hist.items())
+    assert sum(r.padding for r in packing.pack(docs, 4).collect()) == min(cost([*c, 1100]) for c in combinations(sorted(hist)[:-1], 3))
+
+
 def test_quality(docs, rows, no_docs, spark):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(1, 60)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(docs, labels)
