@@ -173,25 +173,29 @@ def _mail(data: bytes, path: str, depth: int) -> Iterator[tuple]:
         yield from parts(raw, f"{path}/{part.get_filename() or i}", depth + 1)
 
 
-def _members(data: bytes, kind: str) -> Iterator[tuple[str, bytes]]:
+def _members(data: bytes, kind: str) -> Iterator[tuple[str, bytes | None, bool]]:
+    """(name, content, whether it is all there) of every member; no content for those that a limit leaves out."""
     if kind == "zip":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for info in z.infolist()[:MEMBERS]:
-                if not info.is_dir() and info.file_size <= MEMBER_BYTES:
-                    yield info.filename, z.read(info)
+            for k, info in enumerate(z.infolist()):
+                if not info.is_dir():
+                    fits = k < MEMBERS and info.file_size <= MEMBER_BYTES
+                    yield info.filename, z.read(info) if fits else None, fits
     elif kind == "tar":
         with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for m in t.getmembers()[:MEMBERS]:
-                if m.isfile() and m.size <= MEMBER_BYTES:
-                    yield m.name, t.extractfile(m).read()
+            for k, m in enumerate(t.getmembers()):
+                if m.isfile():
+                    fits = k < MEMBERS and m.size <= MEMBER_BYTES
+                    yield m.name, t.extractfile(m).read() if fits else None, fits
     else:
         opened = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[kind](io.BytesIO(data))
-        yield "content", opened.read(MEMBER_BYTES)
+        content = opened.read(MEMBER_BYTES + 1)
+        yield "content", content[:MEMBER_BYTES], len(content) <= MEMBER_BYTES
 
 
 def parts(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, int, str, str, str | None]]:
-    """(part, depth, kind, state, text) of a file and all that it holds. Never raises: the state is ok, failed, unreadable or
-    unsupported."""
+    """(part, depth, kind, state, text) of a file and all that it holds. Never raises: the state is ok, failed, unreadable,
+    unsupported, skipped (a member that a limit leaves out) or cut (a row beside the parts of a stream's first bytes)."""
     kind = sniff(data)
     try:
         if kind in ("zip", "tar", "gz", "bz2", "xz"):
@@ -199,8 +203,11 @@ def parts(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, in
                 yield path, depth, kind, "unsupported", None
                 return
             yield path, depth, kind, "ok", ""
-            for name, inner in _members(data, kind):
-                yield from parts(inner, f"{path}/{name}", depth + 1)
+            for name, inner, whole in _members(data, kind):
+                if not whole:
+                    yield f"{path}/{name}", depth + 1, "unknown", "skipped" if inner is None else "cut", None
+                if inner is not None:
+                    yield from parts(inner, f"{path}/{name}", depth + 1)
         elif kind in ("docx", "pptx", "odf"):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 yield path, depth, kind, "ok", {"docx": docx_text, "pptx": slide_text, "odf": odf_text}[kind](z)

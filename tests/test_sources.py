@@ -1,11 +1,16 @@
+import bz2
+import gzip
 import io
 import json
+import lzma
+import tarfile
 import zipfile
 from decimal import Decimal
 
 import pytest
 
 from corvane.functions import logs
+from corvane.plans import intake
 from corvane.sources import listing, readers, sinks
 
 
@@ -58,3 +63,44 @@ def test_logs():
 
 def test_markdown():
     assert sinks.markdown_table(["a"], [["x|y"], [None]]) == "| a |\n| --- |\n| x\\|y |\n|  |"
+
+
+def _zip(members):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name, content in members:
+            z.writestr(name, content)
+    return raw.getvalue()
+
+
+def _tar(members):
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w") as t:
+        for name, content in members:
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    return raw.getvalue()
+
+
+@pytest.mark.parametrize("pack", [_zip, _tar])
+def test_members_past_a_limit_are_marked(pack, monkeypatch):
+    monkeypatch.setattr(readers, "MEMBERS", 3)
+    monkeypatch.setattr(readers, "MEMBER_BYTES", 100)
+    got = {p: (state, text) for p, _, _, state, text in readers.parts(pack([("a", b"one"), ("b", b"x" * 101), ("c", b"x" * 100), ("d", b"four"), ("e", b"five")]))}
+    assert got == {"": ("ok", ""), "/a": ("ok", "one"), "/b": ("skipped", None), "/c": ("ok", "x" * 100), "/d": ("skipped", None), "/e": ("skipped", None)}
+
+
+@pytest.mark.parametrize("squeeze", [gzip.compress, bz2.compress, lzma.compress])
+def test_cut_streams_are_marked(squeeze, monkeypatch):
+    monkeypatch.setattr(readers, "MEMBER_BYTES", 100)
+    assert [(state, text) for _, _, _, state, text in readers.parts(squeeze(b"x" * 100))] == [("ok", ""), ("ok", "x" * 100)]
+    assert [(state, text) for _, _, _, state, text in readers.parts(squeeze(b"x" * 101))] == [("ok", ""), ("cut", None), ("ok", "x" * 100)]
+
+
+def test_archives_past_a_limit_are_incomplete(spark, tmp_path):
+    (tmp_path / "many.zip").write_bytes(_zip([(f"m{i}", b"x") for i in range(readers.MEMBERS + 1)]))
+    (tmp_path / "few.zip").write_bytes(_zip([("m", b"x")]))
+    (tmp_path / "long.gz").write_bytes(gzip.compress(b"x" * (readers.MEMBER_BYTES + 1), 1))
+    got = {r.path.rsplit("/", 1)[1]: r.incomplete for r in intake.incomplete(spark, str(tmp_path)).collect()}
+    assert got == {"many.zip": True, "few.zip": False, "long.gz": True}
