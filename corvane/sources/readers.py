@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 DEPTH, MEMBER_BYTES, MEMBERS = 3, 64 << 20, 2000
+#: The bytes by which a text's kind is told.
+SAMPLE = 65536
 PART = "path string, part string, depth int, kind string, state string, text string"
 
 
@@ -40,7 +42,7 @@ def sniff(data: bytes) -> str:
             return kind
     if data[257:262] == b"ustar":
         return "tar"
-    text = decode_bytes(data[:65536])
+    text = decode_bytes(data if len(data) <= SAMPLE else whole_characters(data[:SAMPLE]))
     if text is None:
         return "binary"
     head = text.lstrip()[:4000]
@@ -67,6 +69,17 @@ def utf16_order(data: bytes) -> str | None:
     return "utf-16-be" if even >= 0.6 and odd <= 0.1 else None
 
 
+def whole_characters(data: bytes) -> bytes:
+    """Without a UTF-8 sequence that a cut left incomplete at the end."""
+    for k in range(1, min(3, len(data)) + 1):
+        byte = data[-k]
+        if byte >= 0xC0:
+            return data[:-k] if k < 2 + (byte >= 0xE0) + (byte >= 0xF0) else data
+        if byte < 0x80:
+            break
+    return data
+
+
 def decode_bytes(data: bytes) -> str | None:
     """By mark, UTF-16 shape, UTF-8, then cp1252 and latin-1; None for bytes that are no text."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
@@ -190,7 +203,8 @@ def _members(data: bytes, kind: str) -> Iterator[tuple[str, bytes | None, bool]]
     else:
         opened = {"gz": gzip.open, "bz2": bz2.open, "xz": lzma.open}[kind](io.BytesIO(data))
         content = opened.read(MEMBER_BYTES + 1)
-        yield "content", content[:MEMBER_BYTES], len(content) <= MEMBER_BYTES
+        whole = len(content) <= MEMBER_BYTES
+        yield "content", content if whole else whole_characters(content[:MEMBER_BYTES]), whole
 
 
 def parts(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, int, str, str, str | None]]:
@@ -223,10 +237,10 @@ def parts(data: bytes, path: str = "", depth: int = 0) -> Iterator[tuple[str, in
             yield path, depth, kind, "unsupported", None
         elif kind == "unreadable":
             yield path, depth, kind, "unreadable", None
-        elif kind == "calendar":
-            yield path, depth, kind, "ok", re.sub(r"\r?\n[ \t]", "", decode_bytes(data))
+        elif (text := decode_bytes(data)) is None:  # text at first only
+            yield path, depth, kind, "unsupported", None
         else:
-            yield path, depth, kind, "ok", decode_bytes(data)
+            yield path, depth, kind, "ok", re.sub(r"\r?\n[ \t]", "", text) if kind == "calendar" else text
     except (zipfile.BadZipFile, tarfile.TarError, ElementTree.ParseError, OSError, EOFError, ValueError, KeyError, LookupError) as error:
         yield path, depth, kind, "failed", str(error)[:200]
 

@@ -104,3 +104,15 @@ def test_archives_past_a_limit_are_incomplete(spark, tmp_path):
     (tmp_path / "long.gz").write_bytes(gzip.compress(b"x" * (readers.MEMBER_BYTES + 1), 1))
     got = {r.path.rsplit("/", 1)[1]: r.incomplete for r in intake.incomplete(spark, str(tmp_path)).collect()}
     assert got == {"many.zip": True, "few.zip": False, "long.gz": True}
+
+
+@pytest.mark.parametrize("word", ["Привет мир ", "漢字仮名交じり文", "🙂🙃"])
+def test_long_texts_are_read_wherever_the_sample_ends(word, monkeypatch):
+    for shift in range(5):
+        text = "a" * shift + word * (70000 // len(word.encode()) + 1)
+        assert list(readers.parts(text.encode())) == [("", 0, "text", "ok", text)]
+        monkeypatch.setattr(readers, "MEMBER_BYTES", 66000 + shift)
+        cut = list(readers.parts(gzip.compress(text.encode())))[-1]
+        assert cut[3] == "ok" and text.startswith(cut[4]) and len(cut[4].encode()) > 66000 + shift - 4
+    late = b"a" * 70000 + b"\0\x81" * 9
+    assert list(readers.parts(late)) == [("", 0, "text", "unsupported", None)]
