@@ -4,8 +4,8 @@ A document is a bag of passages of ``PASSAGE`` bytes. Each passage becomes a vec
 it, and a gated attention (tanh times sigmoid) weighs the passages; the weighted mean goes to one logistic output. Only the
 document has a label; the weights of passages are learned from it.
 
-The model is fitted on the driver by Adam, on at most ``sample`` labelled rows (the smallest by a hash of the id), each with at
-most ``fit_passages`` passages, evenly spaced over the whole text; scoring reads every passage of every document. A null or empty text is one
+The model is fitted on the driver by Adam, on at most ``sample`` labelled rows (the smallest by a hash of the id), fewer once they
+have ``most`` passages (29 MB), each with all its passages; scoring reads every passage of every document. A null or empty text is one
 passage without bytes and gets a score too. Rows without a usable label teach nothing; with no labels, or one label only, the
 score is the share of label 1 (0.5 without labels). Repeated rows are scored alike. Extra columns don't matter.
 """
@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.llm import common as C
 
 PASSAGE, HIDDEN, GATE = 1024, 16, 8
-SAMPLE, FIT_PASSAGES, EPOCHS = 6000, 12, 60
+SAMPLE, MOST, EPOCHS = 6000, 200_000, 60
 THRESHOLD = 0.7
 
 
@@ -161,9 +162,9 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_passages: int = FIT_PASSAGES) -> AttentionModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> AttentionModel:
     """A model from at most ``sample`` labelled rows outside the held-out quarter. Executors make the vectors of the passages, so
-    the driver gets ``fit_passages`` vectors a row, never a text."""
+    the driver gets 144 bytes a passage, never a text. Rows are taken whole, in order, until they have ``most`` passages."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -172,12 +173,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fit_passages
         for table in C.cut_batches(batches):
             block = C.Block(table)
             x, first = passages(block)
-            rows = [x[np.unique(np.linspace(a, z - 1, min(fit_passages, z - a)).astype(int))].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+            rows = [x[a:z].tobytes() for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
             yield pa.RecordBatch.from_arrays([block.id_column(), table.column("label").combine_chunks().take(pa.array(block.order)), pa.array(rows, pa.binary())], names=["doc_id", "label", "bag"])
 
     # ``chosen`` has ``sample`` rows at most, so it is broadcast
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = rows.mapInArrow(bags, "doc_id long, label int, bag binary").orderBy(F.xxhash64("doc_id"), "doc_id", "bag").limit(sample).toArrow()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("bag")]
+    taken = rows.mapInArrow(bags, "doc_id long, label int, bag binary").orderBy(*order).limit(sample)
+    before = F.coalesce(F.sum(F.octet_length("bag")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = taken.withColumn("before", before).where(F.col("before") < most * 4 * N_FEATURES).orderBy("before").toArrow()
     vectors = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, N_FEATURES) for x in found.column("bag")]
     return fit(vectors, np.asarray(found.column("label")).astype(np.float64))
 

@@ -208,6 +208,15 @@ def test_quality(docs, rows, no_docs, spark):
     assert quality.keep_good(docs, model).count() == sum(r.predicted for r in got)
 
 
+@pytest.mark.parametrize(("most", "rows"), [(quality.MOST, 6), (100, 3), (1, 1)])
+def test_quality_learns_from_whole_texts(spark, most, rows, monkeypatch):
+    ids = [i for i in range(30) if not held_out(i)][:6]
+    docs = spark.createDataFrame([(i, "word " * 8192) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: [len(b) for b in bags])
+    assert quality.train(docs, labels, most=most) == [40] * rows
+
+
 def test_quality_held_out_accuracy(spark, sf_dir):
     docs, labels = C.read(spark, sf_dir, "documents"), C.read(spark, sf_dir, "labels")
     truth = {r.doc_id: r.quality for r in labels.collect()}
