@@ -1,6 +1,6 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-Rows that a filter rejects go; the near-dedup keeps the document with the smallest id of each component; suffix-array dedup
+Rows that a filter rejects go; the near-dedup keeps one row of each component, the one with the smallest id; suffix-array dedup
 rewrites texts (and n_chars); packing gives every document that is left its bucket, batch and place.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import common as C
 from corvane.llm import hyperlang, quality
-from corvane.llm.minhash import STAGE, keep_one
+from corvane.llm.minhash import STAGE, one_of_each
 from corvane.llm.packing import pack
 from corvane.llm.suffixarray import without_repeats
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return keep_one(docs, *STAGE)
+    return one_of_each(docs, *STAGE)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,3 +250,29 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows:
     found = minhash_near_dedup(docs, percent, bands, rows)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """``docs``, all columns, with one row of each component, rows without an id and rows that repeat an id included.
+
+    Here a document is a distinct pair of id and text, so of equal rows the smallest stays, and two texts of one id are linked only
+    if they are alike. Of a component the smallest id stays. Documents that cannot have their own id come after all others: further
+    texts of an id (its first text by hash keeps the id), then those without an id, both by a hash of the text."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.struct("*").alias("row"))
+    odd = C.written(whole.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select("id"), "odd")
+    if not odd.take(1):
+        return keep_one(docs, percent, bands, rows)
+    some = odd.where("id is not null")
+    again = whole.where("id is null").unionByName(whole.join(some, "id", "left_semi"))
+    key = F.md5(F.col("row.text").cast("string").cast("binary"))
+    single = C.written(again.groupBy("id", key.alias("key")).agg(F.min("row").alias("row")), "single")
+    first = single.where("id is not null").groupBy("id").agg(F.min(F.struct(F.col("key").isNotNull().alias("has"), "key")).alias("first"))
+    marked = single.join(first, "id", "left").withColumn("own", F.coalesce(F.col("key").eqNullSafe(F.col("first.key")), F.lit(False)) & F.col("id").isNotNull())
+    n_sub = max(64, 2 * C.partitions(docs.sparkSession))
+    late = F.pmod(F.xxhash64("key"), F.lit(n_sub)).cast("int") + F.when(F.col("id").isNull(), n_sub).otherwise(0)
+    rest = C.ranked(marked.where("not own").select(F.lit(0).alias("all"), "id", "key", "row"), "all", [F.col("key"), F.col("id")], late, 2 * n_sub, "rank")
+    top = whole.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    numbered = whole.where("id is not null").join(some, "id", "left_anti").unionByName(marked.where("own").select("id", "row"))
+    numbered = numbered.unionByName(C.written(rest.select((F.col("rank") + F.lit(top) + 1).alias("id"), "row"), "rest"))
+    found = minhash_near_dedup(numbered.select(F.col("id").alias("doc_id"), F.col("row.text").alias("text")), percent, bands, rows)
+    return numbered.join(found.where(~F.col("kept")).select(F.col("doc_id").alias("id")), "id", "left_anti").select("row.*")

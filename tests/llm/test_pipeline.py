@@ -21,3 +21,21 @@ def test_near_dedup_stage_links_from_80_percent(spark):
     far = [*words[:10], "x", *words[11:25], "y", *words[26:40], "z", *words[41:]]  # 35 of 65
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()} == {1, 3}
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_component(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcd"}
+    near = {k: t.replace(f"{k}30", "other") for k, t in text.items()}
+    found = [(1, text["a"]), (1, text["a"]), (2, near["a"]), (None, text["a"]), (None, near["a"])]
+    found += [(None, text["b"]), (None, text["b"]), (None, near["b"]), (3, text["c"]), (3, text["d"]), (None, near["d"]), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, f"x{k}", "clash") for k, (i, t) in enumerate(found)], "doc_id long, text string, row string, id string").repartition(3)
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted((r.doc_id or 0, (r.text or "-")[:1]) for r in out.collect())
+    assert got == [(0, "b"), (1, "a"), (3, "c"), (3, "d"), (4, "-"), (5, "-")]
+
+
+def test_near_dedup_stage_over_the_corner_cases(spark, docs, rows):
+    out = corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()
+    texts = [r.text for r in out if r.text and len(r.text.split()) > 4]
+    assert len(texts) == len(set(texts)) and {r.doc_id for r in out} >= {1, 2, 30} and sum(r.doc_id == 1 for r in out) == 1
