@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
 import tempfile
 import uuid
 
@@ -52,17 +55,34 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
 
 
-def block_count(spark: SparkSession, n_bytes: int) -> int:
-    return max(partitions(spark), -(-n_bytes // BLOCK_BYTES))
+def block_count(n_bytes: int, size: int = BLOCK_BYTES) -> int:
+    """Blocks follow the bytes alone, never the number of partitions."""
+    return max(1, -(-n_bytes // size))
 
 
-def in_blocks(docs: DataFrame, n_blocks: int, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, text and a block by the hash of the id: any key, source or group of copies spreads over all blocks.
+def row_id() -> Column:
+    """The id of a row in orders: a null id is larger than any other."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
 
-    carry: columns that come along as the struct ``carried``, for operators that give rows back whole.
+
+def in_blocks(docs: DataFrame, n_blocks: int, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows in blocks, and the heads of their groups of equal texts.
+
+    Rows: doc_id, text, ``row`` (a hash of id and text) and the block that it falls in, so any key, source or group of copies
+    spreads over all blocks. carry: columns that come along as the struct ``carried``, for operators that give rows back whole.
+    Heads: the smallest id of each text, as ``key`` (its ``row``) and block; ``level`` -2 if the text has more rows, else -1.
+    Texts are told apart by 128 bits; the groups are counted by Spark before anything is exchanged.
     """
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n_blocks)).cast("int")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), block.alias("block"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else [])).repartition(n_blocks, "block")
+    text = F.col("text").cast("string")
+    marks = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    row = F.xxhash64("h1", "h2", "id")
+    block = lambda key: F.pmod(F.col(key), F.lit(n_blocks)).cast("int").alias("block")
+    heads = docs.select(row_id().alias("id"), *marks).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    heads = heads.select(row.alias("key"), F.when(F.col("n") > 1, -2).otherwise(-1).alias("level")).select(block("key"), "level", "key")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *marks, row_id().alias("id"), *whole)
+    rows = rows.select("doc_id", "text", row.alias("row"), *(["carried"] if carry else [])).withColumn("block", block("row"))
+    return rows.repartition(n_blocks, "block"), heads
 
 
 def ranked(df: DataFrame, group: str, order: list[Column], sub: Column, n_sub: int, name: str = "slot") -> DataFrame:
@@ -101,6 +121,20 @@ class Block:
         self.data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
         self.start = (offsets - offsets[0]).astype(np.int64)
 
+    def taken(self, at: np.ndarray) -> Block:
+        """The block of the rows ``at`` (ascending)."""
+        out = object.__new__(Block)
+        out.order, out.null_id, out.ids, out.n = at, self.null_id[at], self.ids[at], len(at)
+        size = np.diff(self.start)
+        out.start = np.r_[0, np.cumsum(size[at])].astype(np.int64)
+        if len(at) == self.n:
+            out.data = self.data
+        else:
+            wanted = np.zeros(self.n, bool)
+            wanted[at] = True
+            out.data = self.data[np.repeat(wanted, size)]
+        return out
+
     def id_column(self) -> pa.Array:
         return pa.array(self.ids, pa.int64(), mask=self.null_id)
 
@@ -116,6 +150,7 @@ def cut_batches(batches):
             to = max(at + 1, int(np.searchsorted(sizes, base + BLOCK_BYTES)))
             yield table.slice(at, to - at)
             at = to
+    trim()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -129,11 +164,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 _TABLES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_BASE = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = 0x9E3779B97F4A7C15
+
 
+def runs_hash(values: np.ndarray, length: int, base: int = _BASE) -> np.ndarray:
+    """Polynomial hashes (mod 2**64) of all runs of ``length`` values; by doubling, without a loop over positions.
 
-def runs_hash(values: np.ndarray, length: int, base: int = _BASE[0]) -> np.ndarray:
-    """Polynomial hashes (mod 2**64) of all runs of ``length`` values; by doubling, without a loop over positions."""
+    For filters only: runs built to collide do, so what decides uses ``windows_hash`` or the values themselves."""
     if len(values) < length:
         return np.zeros(0, np.uint64)
     n, power, span, acc, done, level = len(values) - length + 1, base, 1, None, 0, values
@@ -161,51 +198,144 @@ def owners(keys: np.ndarray, width: int) -> np.ndarray:
     return (packed & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
+def windows_hash(values: np.ndarray, length: int, longest: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Hashes of all runs of ``length`` values by doubling: a run is the mixed pair of two runs of half its length, or for other
+    lengths of the two longest that begin and end it. longest: runs of powers of two that were made before, and room for more."""
+    if len(values) < length:
+        return np.zeros(0, np.uint64)
+    made = {1: values} if longest is None else longest
+    made.setdefault(1, values)
+    span = 1
+    while span * 2 <= length:
+        if span * 2 not in made:
+            half = made[span]
+            made[span * 2] = mixed(half[:-span] * np.uint64(_BASE) + half[span:])
+        span *= 2
+    if span == length:
+        return made[span]
+    rest = length - span
+    return mixed(made[span][:-rest] * np.uint64(0xD1342543DE82EF95) + made[span][rest:])
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
 def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and the number of the first word of each document (with the total at the end)."""
-    d = block.data
-    blank = np.ones(len(d) + 2, bool)
-    blank[1:-1] = (d == 32) | ((d >= 9) & (d <= 13))
-    word = ~blank
-    begins = word[1:-1] & blank[:-2]
-    closes = word[1:-1] & blank[2:]
-    cuts = block.start[:-1][np.diff(block.start) > 0]  # a word ends where its document ends
-    begins[cuts] = word[1:-1][cuts]
-    inner = cuts[cuts > 0] - 1
-    closes[inner] = word[1:-1][inner]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    n = len(block.data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(block.n + 1, np.int64)
+    blank = _BLANK[block.data]
+    edges = [np.flatnonzero(blank[1:] != blank[:-1]) + 1]
+    if not blank[0]:
+        edges.insert(0, np.zeros(1, np.int64))
+    if not blank[-1]:
+        edges.append(np.full(1, n))
+    cuts = np.unique(block.start)
+    cuts = cuts[(cuts > 0) & (cuts < n)]
+    cuts = cuts[~(blank[cuts - 1] | blank[cuts])]  # a word ends where its document ends
+    edge = np.concatenate(edges)
+    if len(cuts):
+        edge = np.sort(np.concatenate([edge, cuts, cuts]), kind="stable")
+    starts, ends = edge[::2], edge[1::2]
     return starts, ends, np.searchsorted(starts, block.start)
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POWERS.get(which)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        base = _BASE[which]
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, np.uint64(b))
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        have = _POWERS[which] = (out[0], out[1])
-    return have
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEEDS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 
 
 def word_hashes(block: Block, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; ``lower``: with A-Z as a-z."""
-    table = _TABLES[which].copy()
-    if lower:
-        table[65:91] = table[97:123]
+    """A 64-bit hash of each word's bytes, eight at a time, each eight mixed into what came before. lower: with A-Z as a-z.
+
+    The two hashes (``which``) share no collisions but by chance. Words over 256 bytes are hashed one by one."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = _powers(which, len(block.data) + 1)
-    total = np.zeros(len(block.data) + 1, np.uint64)
-    np.cumsum(table[block.data] * power[: len(block.data)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    data = _LOWER[block.data] if lower else block.data
+    padded = np.zeros(-(-len(data) // 8) * 8 + 16, np.uint8)
+    padded[: len(data)] = data
+    eights = padded.view(np.uint64)
+    size = ends - starts
+
+    def lane(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        shift = (8 * (at & 7)).astype(np.uint64)
+        place = at >> 3
+        value = eights[place] >> shift
+        value |= (eights[place + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+        return value & _MASKS[np.minimum(left, 8)]
+
+    h = mixed((size.astype(np.uint64) * np.uint64(_BASE) + np.uint64(_SEEDS[which])) ^ lane(starts, size))
+    more = np.flatnonzero((size > 8) & (size <= 256))
+    done = 8
+    while len(more):
+        h[more] = mixed(h[more] ^ lane(starts[more] + done, size[more] - done))
+        done += 8
+        more = more[size[more] > done]
+    for i in np.flatnonzero(size > 256).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=bytes([which + 1])).digest(), "little")
+    return h
+
+
+def freed(function):
+    """``function``; then what it has allocated goes back to the system, so that an idle worker holds little."""
+
+    @functools.wraps(function)
+    def wrapped(*args):
+        try:
+            return function(*args)
+        finally:
+            trim()
+
+    return wrapped
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # only glibc has it
+except (OSError, AttributeError):
+    _LIBC = None
+
+
+class Rows:
+    """The rows of a block, and those among them whose text has to be looked at: one for each text that has its head here.
+
+    All other rows share their result (``same``: by row the place of the row that is looked at) or repeat a text of a smaller id.
+    """
+
+    def __init__(self, table: pa.Table, heads: dict[int, np.ndarray]):
+        self.block = Block(table)
+        row = np.asarray(table.column("row")).astype(np.int64)[self.block.order]
+        many = np.isin(row, heads.get(-2, _NO_KEYS))
+        head = many | np.isin(row, heads.get(-1, _NO_KEYS))
+        at = np.flatnonzero(head)
+        _, first, back = np.unique(row[at], return_index=True, return_inverse=True)
+        kept = np.sort(first)
+        self.at = at[kept]
+        self.same = np.full(self.block.n, -1, np.int64)
+        self.same[at] = np.searchsorted(kept, first[back])
+        self.many = many[self.at]
+        self.looked = self.block.taken(self.at)
+
+
+_NO_KEYS = np.zeros(0, np.int64)
+
+
+def by_level(table: pa.Table | None) -> dict[int, np.ndarray]:
+    """The keys that came back for a block, sorted, by level."""
+    if table is None or not table.num_rows:
+        return {}
+    table = table.filter(pc.is_valid(table.column("key")))
+    level, key = np.asarray(table.column("level")), np.asarray(table.column("key")).astype(np.int64)
+    return {int(k): np.sort(key[level == k]) for k in np.unique(level)}
 
 
 EXCHANGE = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("blob", T.BinaryType())])
@@ -223,6 +353,11 @@ def replied(level: int, bucket: int, blobs: dict[int, bytes]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(list(blobs), pa.int32()), pa.array([level] * n, pa.int32()), pa.array([bucket] * n, pa.int32()), pa.array(list(blobs.values()), pa.binary())], schema=_REPLY)
 
 
+def key_bytes(n_bytes: int) -> int:
+    """Bytes of a hash that sorts out: 64 times as many values as the text has bytes, five bytes at least and eight at most."""
+    return min(8, max(5, -(-(max(1, n_bytes).bit_length() + 6) // 8)))
+
+
 class Keys:
     """The distinct keys of one block, dealt over buckets: what is sent, and where an answer for a key is found.
 
@@ -255,6 +390,7 @@ class Keys:
         return out
 
 
+@freed
 def repeats_in_bucket(table: pa.Table, level: int, width: int, hot: int) -> pa.Table:
     """Which keys of a bucket more than one block holds, or one block twice (bit 0), and more than ``hot`` blocks (bit 1)."""
     bucket = table.column("bucket")[0].as_py()
@@ -290,6 +426,7 @@ def repeats_in_bucket(table: pa.Table, level: int, width: int, hot: int) -> pa.T
 
 def replies_by_level(table: pa.Table) -> dict[int, dict[int, bytes]]:
     out: dict[int, dict[int, bytes]] = {}
+    table = table.filter(pc.greater_equal(table.column("level"), 0))
     for level, bucket, blob in zip(table.column("level").to_pylist(), table.column("bucket").to_pylist(), table.column("blob").to_pylist()):
         out.setdefault(level, {})[bucket] = blob
     return out

@@ -64,12 +64,13 @@ def shingle_sets(block: C.Block) -> tuple[np.ndarray, np.ndarray]:
     hashes = C.word_hashes(block, starts, ends, lower=True)
     n_words = np.diff(first)
     doc = np.repeat(np.arange(block.n), n_words)
-    runs = C.runs_hash(hashes, WORDS)
+    made: dict[int, np.ndarray] = {}
+    runs = C.windows_hash(hashes, WORDS, made)
     fits = np.flatnonzero(np.arange(len(runs)) + WORDS <= first[1:][doc[: len(runs)]])
     values, of = [runs[fits]], [doc[fits]]
     for size in range(1, WORDS):  # the whole sequence is the one shingle
         at = np.flatnonzero(n_words == size)
-        values.append(C.mixed(C.runs_hash(hashes, size)[first[at]] + np.uint64(size)) if len(at) else np.zeros(0, np.uint64))
+        values.append(C.mixed(C.windows_hash(hashes, size, made)[first[at]] + np.uint64(size)) if len(at) else np.zeros(0, np.uint64))
         of.append(at)
     value, of = np.concatenate(values), np.concatenate(of)
     by = np.lexsort((value, of))

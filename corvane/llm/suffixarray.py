@@ -5,18 +5,22 @@ order; each suffix's previous-smaller pointer finds the suffix whose prefix grow
 their group. Then one ascending pass emits every group's own order along the same pointers. Nothing is renamed or recursed.
 
 Over a corpus no machine holds one suffix array. A 50-byte string always contains a seed: the 24-byte piece with the smallest
-hash among its 27, a choice made from the string alone, so equal strings have equal seeds at equal places. Three exchanges:
+hash among its 27, a choice made from the string alone, so equal strings have equal seeds at equal places. Of each group of
+equal texts only the one with the smallest id is looked at; the others lose every string to it. Three exchanges:
 
 1. Blocks of documents send the distinct hashes of their seeds. A seed that one document alone has is dropped: no string
-   around it is shared. This is a filter only (5 bytes a hash).
+   around it is shared. This is a filter only, with as many bytes a hash as the input's size asks for (``C.key_bytes``).
 2. Blocks send, for each seed left, the bytes from the first to the last 50-byte string that the seed stands for (62 on
    average), each distinct piece once, with its smallest id. Pieces with one seed meet in one bucket, where a suffix array
    over them, with LCPs, gives the groups of equal strings and the smallest id of each. Seeds that very many blocks hold are
    dealt by seed, place and surrounding bytes instead, in six ranges of places, so that one passage spreads over buckets.
 3. A bit for each string comes back, and blocks cut their own texts.
 
-The pieces' bytes are compared themselves, so the result is exact. A null text is empty; a null id counts as larger than any
-other; rows that share an id don't remove from each other; texts under 50 bytes stay. Other columns don't matter.
+Blocks and buckets follow the bytes of text, and what one block sends to one bucket is one row, so there are never more rows
+than seeds or pieces. The pieces' bytes are compared themselves, so the result is exact. A null text is empty; a null id counts
+as larger than any other; rows that share an id don't remove from each other (ties: the same id is no smaller id); texts under
+50 bytes stay; a text of any length is read whole, as a part of one block; an empty table gives no rows. Other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ from corvane.llm import common as C
 
 LENGTH, SEED = 50, 24
 SPAN = LENGTH - SEED + 1
-SENT = 5
+#: Bytes of text in a block (one Python call), and bytes for each bucket.
+BLOCK, BUCKET = 2 << 20, 4 << 20
+#: Records that are made at once.
+SLICE = 32768
 #: A seed that more blocks than this hold is dealt over six ranges of places.
 HOT_BLOCKS = 32
 RANGES = ((0, 2), (3, 5), (6, 12), (13, 19), (20, 22), (23, 26))
@@ -131,7 +138,7 @@ def _sorted_seeds(right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
     A symbol is the rank of the bytes between two cuts; rows end in the smallest symbol, so a row comes before its own extensions.
     """
-    digest = C.mixed((right.astype(np.uint64) * C._TABLES[1][: right.shape[1]]).sum(axis=1, dtype=np.uint64) + lengths.astype(np.uint64))
+    digest = _digest(right, lengths)
     _, first_row, back = np.unique(digest, return_index=True, return_inverse=True)
     if not ((right == right[first_row][back]).all() and (lengths == lengths[first_row][back]).all()):
         first_row = back = np.arange(len(right))  # two rows of one digest: all rows are sorted
@@ -187,14 +194,28 @@ def smallest_sharing(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_
     return best
 
 
-_RECORD = np.dtype([("left", "u1", SPAN - 1), ("right", "u1", LENGTH), ("n_left", "u1"), ("n_right", "u1")])
+_RECORD = np.dtype([("left", "u1", SPAN - 1), ("right", "u1", LENGTH), ("n_left", "u1"), ("n_right", "u1"), ("none", "u1", 2)])
+
+
+def _digest(rows: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each row of bytes, eight at a time."""
+    wide = -(-rows.shape[1] // 8) * 8
+    if wide != rows.shape[1] or not rows.flags.c_contiguous:
+        padded = np.zeros((len(rows), wide), np.uint8)
+        padded[:, : rows.shape[1]] = rows
+        rows = padded
+    eights = rows.view(np.uint64)
+    h = np.full(len(rows), np.uint64(wide)) if start is None else start.astype(np.uint64)
+    for k in range(eights.shape[1]):
+        h = C.mixed(h ^ eights[:, k])
+    return h
 
 
 class _Pieces:
     """Seeds of a block, and after the first answers the pieces around those that other documents have too."""
 
-    def __init__(self, table: pa.Table, n_buckets: int, answers: dict[int, bytes] | None):
-        self.block = b = C.Block(table)
+    def __init__(self, b: C.Block, n_buckets: int, width: int, answers: dict[int, bytes] | None):
+        self.block = b
         n = len(b.data)
         self.keys, self.records = None, None
         self.seed = self.window = np.zeros(0, np.int64)
@@ -218,7 +239,7 @@ class _Pieces:
         group[by] = np.cumsum(new) - 1
         edges = np.flatnonzero(new)
         lasts = np.r_[edges[1:], len(by)] - 1
-        self.keys = C.Keys(value[by][edges], ids[by][edges] != ids[by][lasts], n_buckets, SENT)
+        self.keys = C.Keys(value[by][edges], ids[by][edges] != ids[by][lasts], n_buckets, width)
         if answers is None:
             return
         got = self.keys.answers(answers, 2)[group]
@@ -235,10 +256,11 @@ class _Pieces:
         rec = np.zeros(len(at), _RECORD)
         rec["n_left"], rec["n_right"] = self.place - lo, hi + LENGTH - self.place
         data = np.concatenate([np.zeros(SPAN, np.uint8), b.data, np.zeros(LENGTH, np.uint8)])
-        k = np.arange(SPAN - 1)
-        rec["left"] = np.where(k[None, :] < rec["n_left"][:, None], data[SPAN + self.place[:, None] - 1 - k[None, :]], 0)
-        k = np.arange(LENGTH)
-        rec["right"] = np.where(k[None, :] < rec["n_right"][:, None], data[SPAN + self.place[:, None] + k[None, :]], 0)
+        back, on = np.arange(SPAN - 1), np.arange(LENGTH)
+        for part in (slice(k, k + SLICE) for k in range(0, len(at), SLICE)):
+            where, r = self.place[part, None] + SPAN, rec[part]
+            rec["left"][part] = np.where(back[None, :] < r["n_left"][:, None], data[where - 1 - back[None, :]], 0)
+            rec["right"][part] = np.where(on[None, :] < r["n_right"][:, None], data[where + on[None, :]], 0)
         # hot seeds: dealt by the bytes that every string of the range has
         deal = value[at].copy()
         for f, g in RANGES:
@@ -252,7 +274,7 @@ class _Pieces:
                 h = C.mixed(h + rec["right"][hot, i].astype(np.uint64))
             deal[hot] = h
         flat = np.ascontiguousarray(rec).view(np.uint8).reshape(len(rec), -1)
-        digest = C.mixed((flat.astype(np.uint64) * C._TABLES[0][np.arange(flat.shape[1])]).sum(axis=1, dtype=np.uint64)) if len(rec) else np.zeros(0, np.uint64)
+        digest = _digest(flat)
         key = np.lexsort((self.ids, digest, deal))
         if len(key):
             same = (digest[key][1:] == digest[key][:-1]) & (deal[key][1:] == deal[key][:-1]) & (flat[key][1:] == flat[key][:-1]).all(axis=1)
@@ -281,15 +303,19 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, _RECORD, n, 8), np.frombuffer(raw, np.int64, n, 8 + n * _RECORD.itemsize)
 
 
-def _send_seeds(table: pa.Table, n_buckets: int) -> pa.Table:
-    p = _Pieces(table, n_buckets, None)
+@C.freed
+def _send_seeds(table: pa.Table, heads: pa.Table, n_buckets: int, width: int) -> pa.Table:
+    if not table.num_rows:
+        return C.sent(0, {})
+    p = _Pieces(C.Rows(table, C.by_level(heads)).looked, n_buckets, width, None)
     return C.sent(table.column("block")[0].as_py(), p.keys.blobs() if p.keys is not None else {})
 
 
-def _send_pieces(table: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
+@C.freed
+def _send_pieces(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.Table:
     if not table.num_rows:
         return C.sent(0, {})
-    p = _Pieces(table, n_buckets, C.replies_by_level(replies).get(0, {}))
+    p = _Pieces(C.Rows(table, C.by_level(replies)).looked, n_buckets, width, C.replies_by_level(replies).get(0, {}))
     blobs = {}
     if p.records is not None:
         for b in np.flatnonzero(np.diff(p.bounds)):
@@ -298,6 +324,7 @@ def _send_pieces(table: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table
     return C.sent(table.column("block")[0].as_py(), blobs)
 
 
+@C.freed
 def _decide(table: pa.Table) -> pa.Table:
     """A bit for each piece and place of a bucket: a smaller id has the same 50 bytes."""
     bucket = table.column("bucket")[0].as_py()
@@ -319,31 +346,38 @@ def _decide(table: pa.Table) -> pa.Table:
     return C.replied(1, bucket, out)
 
 
-def _cut(table: pa.Table, replies: pa.Table, n_buckets: int) -> pa.Table:
+@C.freed
+def _cut(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.Table:
     by = C.replies_by_level(replies)
-    p = _Pieces(table, n_buckets, by.get(0, {}))
-    b, n = p.block, len(p.block.data)
-    edge = np.zeros(n + 1, np.int64)
+    rows = C.Rows(table, C.by_level(replies))
+    b, p = rows.block, _Pieces(rows.looked, n_buckets, width, by.get(0, {}))
+    edge = np.zeros(len(p.block.data) + 1, np.int64)
     if p.records is not None and len(p.records):
         gone = np.zeros((len(p.records), SPAN), bool)
         for bucket, blob in by.get(1, {}).items():
             at = p.order[p.bounds[bucket] : p.bounds[bucket + 1]]
             gone[at] = np.unpackbits(np.frombuffer(blob, np.uint8).reshape(len(at), -1), axis=1, count=SPAN)
-        mine = gone[p.group] | (p.ids > p.least[p.group])[:, None]
-        where = p.place[:, None] - np.arange(SPAN)[None, :]
-        mine &= (where >= p.lo[:, None]) & (where <= p.hi[:, None])
-        starts = where[mine]
-        np.add.at(edge, starts, 1)
-        np.add.at(edge, starts + LENGTH, -1)
-    keep = np.cumsum(edge[:n]) == 0
+        for part in (slice(k, k + SLICE) for k in range(0, len(p.ids), SLICE)):
+            mine = gone[p.group[part]] | (p.ids[part] > p.least[p.group[part]])[:, None]
+            where = p.place[part, None] - np.arange(SPAN)[None, :]
+            mine &= (where >= p.lo[part, None]) & (where <= p.hi[part, None])
+            starts = where[mine]
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + LENGTH, -1)
+    keep_of = np.cumsum(edge[:-1]) == 0
+    size = np.diff(b.start)
+    keep = np.repeat(size < LENGTH, size)  # a row that isn't looked at repeats the text of a smaller id
+    for i in np.flatnonzero(rows.same >= 0).tolist():
+        k = rows.same[i]
+        keep[b.start[i] : b.start[i + 1]] = keep_of[p.block.start[k] : p.block.start[k + 1]]
     lone = ~keep
     runs = lone.copy()
     runs[1:] &= keep[:-1]
-    heads = b.start[:-1][np.diff(b.start) > 0]
+    heads = b.start[:-1][size > 0]
     runs[heads] = lone[heads]
     count = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][b.start])
     texts = [b.data[s:e][keep[s:e]].tobytes() for s, e in zip(b.start[:-1].tolist(), b.start[1:].tolist())]
-    columns = [b.id_column(), pa.array(np.diff(b.start), pa.int64()), pa.array(count(lone), pa.int64()), pa.array(count(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(texts, pa.binary())]
+    columns = [b.id_column(), pa.array(size, pa.int64()), pa.array(count(lone), pa.int64()), pa.array(count(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(texts, pa.binary())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     if "carried" in table.column_names:
         columns.append(table.column("carried").combine_chunks().take(pa.array(b.order)))
@@ -356,16 +390,20 @@ def suffix_array_dedup(docs: DataFrame, n_blocks: int | None = None, carry: list
 
     carry: names of columns that come back with each row, as the struct ``carried``.
     """
-    spark = docs.sparkSession
-    n_blocks = n_blocks or C.block_count(spark, C.text_bytes(docs))
-    n_buckets = max(C.partitions(spark), n_blocks // 4)
-    blocks = C.in_blocks(docs, n_blocks, carry)
+    n_bytes = C.text_bytes(docs)
+    n_blocks, width = n_blocks or C.block_count(n_bytes, BLOCK), C.key_bytes(n_bytes)
+    n_buckets = C.block_count(n_bytes, BUCKET)
+    blocks, heads = C.in_blocks(docs, n_blocks, carry)
     schema = T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *([blocks.schema["carried"]] if carry else [])])
-    seeds = blocks.groupBy("block").applyInArrow(lambda t: _send_seeds(t, n_buckets), C.EXCHANGE)
-    shared = C.answered(seeds, n_buckets, 0, SENT, HOT_BLOCKS)
-    pieces = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda t, r: _send_pieces(t, r, n_buckets), C.EXCHANGE)
-    gone = pieces.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_decide, C.REPLY)
-    return blocks.groupBy("block").cogroup(shared.unionByName(gone).groupBy("block")).applyInArrow(lambda t, r: _cut(t, r, n_buckets), schema)
+    none = F.lit(None)
+    heads = heads.select("block", "level", none.cast("int").alias("bucket"), none.cast("binary").alias("blob"), "key")
+    whole = lambda df: df.withColumn("key", none.cast("long"))
+    with_replies = lambda replies: blocks.groupBy("block").cogroup(replies.groupBy("block"))
+    seeds = with_replies(heads).applyInArrow(lambda t, r: _send_seeds(t, r, n_buckets, width), C.EXCHANGE)
+    shared = heads.unionByName(whole(C.answered(seeds, n_buckets, 0, width, HOT_BLOCKS)))
+    pieces = with_replies(shared).applyInArrow(lambda t, r: _send_pieces(t, r, n_buckets, width), C.EXCHANGE)
+    gone = pieces.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _decide(t), C.REPLY)
+    return with_replies(shared.unionByName(whole(gone))).applyInArrow(lambda t, r: _cut(t, r, n_buckets, width), schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
