@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corvane.functions.normalise import folded
-from corvane.functions.patterns import _SPANS, SPANS
+from corvane.functions.patterns import _SPANS, SPANS, chosen
 
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss"}
 
@@ -45,11 +45,7 @@ class Matcher:
             a, z = end - n + 1, end + 1
             if (a == 0 or not text[a - 1].isalnum()) and (z == len(text) or not text[z].isalnum()):
                 found.append((-n, a, z, code))
-        out: list[tuple[int, int, str, str]] = []
-        for _, a, z, code in sorted(found):
-            if all(z <= x or a >= y for x, y, _, _ in out):
-                out.append((a, z, code, text[a:z]))
-        return sorted(out)
+        return [(a, z, code, text[a:z]) for a, z, code in chosen(found)]
 
 
 def form_spans(text: Column, register: list[tuple[str, str]]) -> Column:

@@ -10,15 +10,25 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvane.functions.patterns import canonical, find
+from corvane.functions import secrets
+from corvane.functions.patterns import canonical, chosen, find, replaced
 
 #: Words that stand where a user would but are none: fixed values.
 NO_USERS = {"root", "admin", "user", "unknown", "none", "system", "daemon", "nobody", "invalid", "for", "from"}
 RULES = [
-    ("user", re.compile(r"(?i)\b(?:user(?:name)?|login|account|uid)\s*[=:]\s*\"?([A-Za-z][\w.-]{1,31})")),
+    ("user", re.compile(r"(?i)\b(?:user(?:name)?|login|account|uid)\s*[=:]\s*\"?([A-Za-z][\w.-]{1,31})(?![\w.-]|\s*[=:])")),
     ("user", re.compile(r"(?i)\b(?:for|by) user ([A-Za-z][\w.-]{1,31})")),
     ("user", re.compile(r"\bsession (?:opened|closed) for (?:user )?([a-z][\w.-]{1,31})")),
+    ("user", re.compile(r"(?i)\b(?:accepted|failed) (?:password|publickey|none) for (?:invalid user )?([a-z][\w.-]{1,31})")),
+    ("user", re.compile(r"(?i)\b(?:invalid|illegal|unknown) user ([a-z][\w.-]{1,31})")),
+    ("user", re.compile(r"(?i)\blogged (?:in|on|off|out) as (?:user )?([a-z][\w.-]{1,31})")),
+    ("user", re.compile(r"(?i)\b(?:user|benutzer) ['\"]([^\s'\"]{1,64})['\"]")),
+    ("user", re.compile(r"(?<![\w-])(?:-u|--user|--username|--login)(?:[ \t]+|=)([A-Za-z][\w.@$-]{0,63})")),
+    ("user", re.compile(r"(?<![\w\\:])([A-Z][A-Z0-9-]{1,14}\\{1,2}[A-Za-z][\w.$-]{1,63})(?![\w\\])")),
+    ("user", re.compile(r"(?i)\b[a-z][a-z0-9+.-]{1,15}://([^\s:/@\[\]]{1,64})(?=:\[secret\]@|@)")),
     ("user", re.compile(r"(?:/home/|/Users/|[A-Za-z]:\\Users\\)([A-Za-z0-9._-]+)")),
+    ("host", re.compile(r"(?i)(?<![\w.-])((?:[a-z0-9][a-z0-9-]*\.)+(?:local|internal|intranet|corp|lan|home|localdomain))(?![\w-]|\.[a-z0-9])")),
+    ("host", re.compile(r"(?i)\b(?:on|from|to|at) (?:the )?(?:host|server|node|machine) ['\"]?([a-z0-9][\w.-]{1,253})")),
     ("host", re.compile(r"(?i)\bhost(?:name)?\s*[=:]\s*\"?([A-Za-z][\w-]*(?:\.[\w-]+)*)")),
     ("host", re.compile(r"^(?:[A-Z][a-z]{2} [ \d]\d|\d{4}-\d\d-\d\d)[T ]\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:?\d\d)? ([a-z][\w-]*(?:\.[\w-]+)*) \w", re.M)),
 ]
@@ -32,21 +42,17 @@ def token(kind: str, value: str) -> str:
 def wiped(text: str, counts: Counter | None = None) -> str:
     """Rules in order, then the structured patterns; ranges that one rule took are no longer read by the next."""
     counts = counts if counts is not None else Counter()
-    taken: list[tuple[int, int, str, str]] = []
-    for kind, p in RULES:
+    found = []
+    for k, (kind, p) in enumerate(RULES):
         for m in p.finditer(text):
-            a, z = m.span(1)
             value = m[1].rstrip(".")
-            if value.lower() in NO_USERS or any(a < y and x < z for x, y, _, _ in taken):
-                continue
-            taken.append((a, a + len(value), kind, value))
-    for a, z, kind, value in find(text):
-        if all(z <= x or a >= y for x, y, _, _ in taken):
-            taken.append((a, z, kind, value))
-    for a, z, kind, value in sorted(taken, reverse=True):
+            if value.lower() not in NO_USERS:
+                found.append((k, len(found), m.start(1), m.start(1) + len(value), kind))
+    found += [(len(RULES), k, a, z, kind) for k, (a, z, kind, _) in enumerate(find(text))]
+    hits = chosen(found)
+    for _, _, kind in hits:
         counts[kind] += 1
-        text = text[:a] + token(kind, value) + text[z:]
-    return text
+    return replaced(text, [(a, z, token(kind, text[a:z])) for a, z, kind in hits])
 
 
 def without_secret_lines(text: str) -> str:
@@ -56,7 +62,7 @@ def without_secret_lines(text: str) -> str:
 
 
 def _wiped(text: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else wiped(without_secret_lines(t)) for t in text.to_pylist()], pa.string())
+    return pa.array([None if t is None else wiped(secrets.wiped(without_secret_lines(t))) for t in text.to_pylist()], pa.string())
 
 
 def wiped_log(text: Column) -> Column:

@@ -48,50 +48,67 @@ class Normal:
         return min(self.starts[start:end]), max(self.ends[start:end])
 
 
-def _bytes(raw: bytes) -> str | None:
-    for name in ("utf-8", "cp1252"):
+def shown(text: str | None) -> str | None:
+    """The text, unless it has a control character: those are never decoded."""
+    return None if not text or any(unicodedata.category(c) == "Cc" and c not in "\t\n\r" for c in text) else text
+
+
+def byte_run(mark: int, sides: int, high: bool = False) -> Callable[[re.Match], str | None]:
+    """A maker for runs of bytes, each written with ``mark`` characters and two hexadecimal digits.
+
+    UTF-8 decides; else cp1252, if it gives letters only and at least ``sides`` sides of the run touch a letter. high: only runs
+    with a byte beyond ASCII."""
+
+    def make(m: re.Match) -> str | None:
+        raw = bytes.fromhex("".join(m[0][i + mark : i + mark + 2] for i in range(0, len(m[0]), mark + 2)))
+        if high and raw.isascii():
+            return None
         try:
-            return raw.decode(name)
+            return shown(raw.decode("utf-8"))
         except UnicodeDecodeError:
-            continue
-    return None
+            text = raw.decode("cp1252", "replace")
+        touching = m.string[: m.start()][-1:].isalpha() + m.string[m.end() : m.end() + 1].isalpha()
+        return shown(text) if text.isalpha() and touching >= sides else None
+
+    return make
 
 
-def _encoded_word(m: re.Match) -> str | None:
+def mail_word(m: re.Match) -> str | None:
     try:
-        return "".join(p.decode(c or "ascii") if isinstance(p, bytes) else p for p, c in decode_header(m[0]))
+        return shown("".join(p.decode(c or "ascii") if isinstance(p, bytes) else p for p, c in decode_header(m[0])))
     except (LookupError, UnicodeDecodeError, ValueError):
         return None
 
 
-def _json_escape(m: re.Match) -> str | None:
-    units = b"".join(int(x, 16).to_bytes(2, "big") for x in re.findall(r"\\u([0-9A-Fa-f]{4})", m[0]))
+def code_units(m: re.Match) -> str | None:
+    """Escapes of UTF-16 units; halves of a pair that stand alone leave the run as it is."""
     try:
-        return units.decode("utf-16-be")
+        return shown(bytes.fromhex(m[0].replace("\\u", "")).decode("utf-16-be"))
     except UnicodeDecodeError:
         return None
 
 
-def _quoted(m: re.Match) -> str | None:
-    raw = bytes.fromhex(m[0].replace("=", ""))
-    return _bytes(raw) if any(b > 127 for b in raw) else None
+def signed_unit(m: re.Match) -> str | None:
+    """RTF writes a character as a signed 16-bit number."""
+    n = int(m[1]) % 65536 if int(m[1]) < 0 else int(m[1])
+    return shown(chr(n)) if n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
-def _punycode(m: re.Match) -> str | None:
-    try:
-        return m[0][4:].encode("ascii").decode("punycode")
-    except (UnicodeError, ValueError):
-        return None
-
-
-def _percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+def host_label(m: re.Match) -> str | None:
+    """A label in ASCII form, or its longest part before a hyphen that is one."""
+    cut = len(m[0])
+    while cut > 4:
+        try:
+            text = shown(m[0][:cut].encode("ascii").decode("idna"))
+        except (UnicodeError, ValueError):
+            text = None
+        if text and text != m[0][:cut]:
+            return text + m[0][cut:]
+        cut = m[0].rfind("-", 0, cut)
+    return None
 
 
-def _entity(m: re.Match) -> str | None:
+def named_character(m: re.Match) -> str | None:
     got = html.unescape(m[0])
     return got if got != m[0] else None
 
@@ -100,17 +117,18 @@ INVISIBLE = "­​-‏‪-‮⁠-⁤﻿\U000e0000-\U000e007f︀-️"
 #: In order. Decoders first, then removers.
 STEPS: list[tuple[re.Pattern, Callable[[re.Match], str | None]]] = [
     (re.compile(r"=\r?\n"), lambda m: ""),
-    (re.compile(r"=\?[\w-]+\?[bBqQ]\?[^?\s]*\?="), _encoded_word),
-    (re.compile(r"(?:\\u[0-9A-Fa-f]{4})+"), _json_escape),
-    (re.compile(r"(?:\\x[0-9A-Fa-f]{2})+"), lambda m: _bytes(bytes.fromhex(m[0].replace("\\x", "")))),
-    (re.compile(r"(?:=[0-9A-F]{2})+"), _quoted),
-    (re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), _entity),
-    (re.compile(r"\bxn--[a-z0-9-]+"), _punycode),
-    (re.compile(r"(?:%[0-9A-Fa-f]{2})+"), _percent),
-    (re.compile(r"(?:%[0-9A-Fa-f]{2})+"), _percent),
-    (re.compile(r"(?:%[0-9A-Fa-f]{2})+"), _percent),
+    (re.compile(r"=\?[\w-]+\?[bBqQ]\?[^?\s]*\?="), mail_word),
+    (re.compile(r"\\u(-?[0-9]{2,6})\?"), signed_unit),
+    (re.compile(r"(?:\\'[0-9A-Fa-f]{2})+"), lambda m: shown(bytes.fromhex(m[0].replace("\\'", "")).decode("cp1252", "replace"))),
+    (re.compile(r"(?:\\u[0-9A-Fa-f]{4})+"), code_units),
+    (re.compile(r"(?:\\x[0-9A-Fa-f]{2})+"), byte_run(2, 1)),
+    (re.compile(r"(?:=[0-9A-F]{2})+"), byte_run(1, 2, high=True)),
+    (re.compile(r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"), named_character),
+    (re.compile(r"\bxn--[a-z0-9-]+"), host_label),
+    # three times, for what was escaped again
+    *[(re.compile(r"(?:%[0-9A-Fa-f]{2})+"), byte_run(1, 1))] * 3,
     (re.compile(r"\r\n?"), lambda m: "\n"),
-    (re.compile(r"(.)\x08\1|_\x08(?P<under>.)"), lambda m: m[1] or m["under"]),
+    (re.compile(r"(.)\x08\1|_\x08(?P<under>.)|(?P<over>.)\x08_"), lambda m: m[1] or m["under"] or m["over"]),
     (re.compile(r"\x1b\[[0-9;]*[A-Za-z]"), lambda m: ""),
     (re.compile(f"[{INVISIBLE}]"), lambda m: ""),
     # a base character with its marks is composed, the result standing for all of them

@@ -81,9 +81,10 @@ def name_key(text: Column) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Digits padded, so that names sort as people count."""
+    """Runs of digits with their length before them, so that names sort as people count, whatever the run's length."""
     parts = F.regexp_extract_all(F.lower(text), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    number = lambda p: let(F.ltrim(p, F.lit("0")), lambda d: F.concat(F.lpad(F.length(d).cast("string"), 4, "0"), d))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), number(p)).otherwise(p)), "")
 
 
 def parse_amount(text: Column) -> Column:

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.values import CODE
+
 #: Our own short lists: fixed values.
 BANNED = ("delve", "leverage", "seamless", "robust", "cutting-edge", "synergy")
 VERBS = re.compile(r"(?i)\b(is|are|was|were|be|has|have|had|do|does|did|can|could|will|would|shall|should|may|might|must|\w{3,}(?:ed|es|ing))\b")
@@ -64,34 +66,56 @@ def tells(text: str) -> dict[str, int]:
     return out
 
 
-#: Kinds by ordered masking: what an earlier kind took, a later one doesn't see.
-CLAIMS = [
-    ("url", re.compile(r"\b\w+://\S*[^\s.,;:!?)]")),
-    ("path", re.compile(r"(?<!\w)/(?:[\w{}.-]+/)+[\w{}.-]*")),
-    ("ip", re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}\b")),
-    ("date", re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")),
-    ("time", re.compile(r"\b\d{1,2}:\d{2}(?::\d{2})?\b")),
-    ("price", re.compile(r"(?i)(?:\b(?:EUR|USD)\s?|[€$]\s?)\d[\d.,]*|\b\d[\d.,]*\s?(?:EUR|USD|€|\$)")),
+#: Kinds in the order in which they are named; those that make a claim a high risk come first.
+KINDS = ("negative", "price", "identifier", "api-path", "number", "version", "url")
+HIGH = KINDS[:4]
+#: What takes its place in a sentence, in order; None: it is no claim and no later kind sees it (codes, addresses, dates, times).
+PLACES: list[tuple[str | None, re.Pattern]] = [
+    ("url", re.compile(r"\b[a-z][a-z0-9+.-]*://\S*[^\s.,;:!?)\]]", re.I)),
+    ("api-path", re.compile(r"(?<![\w.])(?:(?:GET|PUT|POST|DELETE|PATCH|HEAD) )?/(?:[\w{}.-]+/)+[\w{}.-]*[\w}]|(?<![\w.])/v\d[\w.]*\b")),
+    (None, re.compile(rf"\b{CODE}\b|\b(?:tcp|hcs)-[a-z2-7]{{4}}\b")),
+    (None, re.compile(r"\b(?:\d{1,3}\.){3}\d{1,3}(?:/\d{1,2})?\b|(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){3,7}[0-9A-Fa-f]{0,4}(?![\w:])")),
+    (None, re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\.\d{1,2}\.\d{4}\b")),
+    (None, re.compile(r"\b\d{1,2}:\d{2}(?::\d{2})?\b")),
+    ("identifier", re.compile(r"\b[a-z]{1,4}\d+[a-z]*\.(?:\d*x?large|medium|small|nano|micro)(?:\.\d+)?\b|\b[a-z]{1,4}\d+[a-z]*\.[a-z0-9]+\.\d+\b")),
+    ("number", re.compile(r"(?<!\w)/\d{1,3}\b")),
+    ("price", re.compile(r"(?:\b(?:EUR|USD)\s?|[€$]\s?)\d[\d.,]*|\b\d[\d.,]*\s?(?:EUR\b|USD\b|€|\$)", re.I)),
     ("version", re.compile(r"\bv?\d+\.\d+(?:\.\d+)+\b|\bv\d+(?:\.\d+)?\b")),
-    ("number", re.compile(r"(?<![\w.])\d[\d.,]*\b")),
-    ("negative", re.compile(r"(?i)\b(?:not|never|no|none|cannot|without|nicht|kein\w*)\b")),
 ]
+_COUNTED = re.compile(r"(?<![\w.])\d[\d.,]*(?![\w])")
+_TOTAL = re.compile(r"(?i)\b(?:total|totals|sum|overall|altogether|insgesamt|gesamt|summe)\b")
+_PER_TIME = re.compile(r"(?i)\s?(?:per|a|/)\s?(?:month|year|monat|jahr)\b")
+_PRICED = re.compile(r"(?i)\b(?:price|prices|cost|costs|fee|preis|preise|kosten|gebühr)\b")
+_DENIED = re.compile(r"(?i)\b(?:not|never|no|none|cannot|without|n't|nicht|kein\w*|niemals|ohne)\b|n't\b")
+
+
+def scanned(sentence: str) -> tuple[list[str], bool]:
+    """The kinds of claims in a sentence, and whether a number in it enters a total. What one place took is blank for the next."""
+    rest, kinds = sentence, set()
+    for kind, place in PLACES:
+        rest, n = place.subn(lambda m: "\0" * len(m[0]), rest)
+        if n and kind:
+            kinds.add(kind)
+    numbers = list(_COUNTED.finditer(rest))
+    total = any(_PER_TIME.match(rest, m.end()) for m in numbers)
+    if numbers:
+        kinds.add("number")
+        kinds |= {"price"} if _PRICED.search(rest) else set()
+        total = total or bool(_TOTAL.search(rest))
+    if _DENIED.search(sentence):
+        kinds.add("negative")
+    return [k for k in KINDS if k in kinds], total and bool(numbers)
 
 
 def claims(text: str) -> list[tuple[str, int, str, str, str]]:
-    """(id, line, kinds, risk, sentence) of sentences with a claim, numbered in text order."""
+    """(id, line, kinds, risk, sentence) of sentences with a claim, numbered in text order. High: a kind of ``HIGH``, or a number in a
+    total; medium: a number or a version."""
     out = []
     for line, s in [(n, x) for n, raw in enumerate(text.split("\n"), 1) for _, x in sentences(raw)]:
-        rest, kinds = s, []
-        for kind, p in CLAIMS:
-            if p.search(rest):
-                kinds.append(kind)
-                rest = p.sub(" ", rest)
+        kinds, total = scanned(s)
         if kinds:
-            total = bool(re.search(r"(?i)\b(?:total|sum|overall)\b", s))
-            high = {"negative", "price", "path"} & {*kinds} or ("number" in kinds and total)
-            risk = "high" if high else "medium" if {"number", "version"} & {*kinds} else "low"
-            out.append((f"C-{len(out) + 1}", line, "+".join(kinds), risk, s))
+            risk = "high" if total or set(kinds) & set(HIGH) else "medium" if {"number", "version"} & set(kinds) else "low"
+            out.append((f"C-{len(out) + 1}", line, ",".join(kinds), risk, s))
     return out
 
 

@@ -38,10 +38,13 @@ def verdict_counts(checked: DataFrame, verdicts: list[str]) -> DataFrame:
 def nearest_fit(requests: DataFrame, request_id: str, need: tuple[str, str], offers: DataFrame, offer_id: str, have: tuple[str, str], steps: int) -> DataFrame:
     """For each request the offer with both sizes at least as large, the smallest by (first, second, id); null if none fits.
 
-    The first size has few values (``steps`` at most). A request is given to each of those at or above its need, and meets the
-    offers of that size on an as-of order of the second size, so no pair of rows that doesn't fit is made.
+    The first size has few values: they are counted, and more than ``steps`` are an error, since each request is given to each of those
+    at or above its need. It meets the offers of that size on an as-of order of the second size, so no pair of rows that doesn't fit
+    is made.
     """
     sizes = offers.select(F.col(have[0]).alias("_size")).distinct()
+    if len(sizes.limit(steps + 1).collect()) > steps:
+        raise ValueError(f"the first size has more than {steps} values")
     wanted = requests.select(F.col(request_id), F.col(need[0]).alias("_a"), F.col(need[1]).alias("_b"))
     asked = wanted.join(F.broadcast(sizes), F.col("_size") >= F.col("_a"))
     kinds = offers.groupBy(F.col(have[0]).alias("_size"), F.col(have[1]).alias("_b")).agg(F.min(offer_id).alias("_offer"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def known_sum(value: Column) -> Column:
@@ -23,3 +24,13 @@ def set_digest(value: Column) -> Column:
     """An order-free digest of a set's values: sums of 60-bit parts of their MD5, combined before the shuffle."""
     part = lambda at: F.conv(F.substring(F.md5(value.cast("string")), at, 15), 16, 10).cast("decimal(20,0)")
     return F.concat_ws("-", F.sum(part(1)).cast("decimal(38,0)").cast("string"), F.sum(part(16)).cast("decimal(38,0)").cast("string"))
+
+
+def numbered(rows: DataFrame, order: list[Column], part: Column, name: str) -> DataFrame:
+    """A gapless number from 1 over all rows in ``order``. ``part`` must not fall along the order; it cuts the rows into ranges that are
+    ordered by themselves, and the ranges' counts (a row a range) give the offsets."""
+    rows = rows.withColumn("_part", part)
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_nth", nth).join(offsets, "_part").withColumn(name, F.col("_nth") + F.col("_ahead")).drop("_part", "_nth", "_ahead")

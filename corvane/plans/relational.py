@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators import intervals, lookup, totals, versions
+from corvane.operators import activity, intervals, lookup, totals, versions
 from corvane.plans.registry import query, table
 
 CENT = "decimal(18,2)"
@@ -363,8 +363,10 @@ def counts_every_level(spark: SparkSession, sf_dir: str) -> DataFrame:
               count(*) - lag(count(*)) OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE)) AS change FROM events GROUP BY 1, 2"""
 )
 def counter_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-day counters with a running window and the change against the row before."""
-    by = table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    """Per-day counters that two runs add to, with a running window and the change against the row before."""
+    e = table(spark, sf_dir, "events")
+    run = lambda some: e.where(some).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    by = activity.added(run(F.col("event_id") % 3 == 0), run(F.col("event_id") % 3 != 0), ["user_id", "day"], "n")
     order = Window.partitionBy("user_id").orderBy("day")
     return by.select("user_id", "day", "n", F.sum("n").over(order.rowsBetween(-6, 0)).alias("last_seven_rows"), (F.col("n") - F.lag("n").over(order)).alias("change"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import patterns
 from corvane.functions import text as X
-from corvane.operators import search
+from corvane.operators import search, totals
 from corvane.plans.registry import query, table
 
 _W = "regexp_extract_all(lower(text), '[A-Za-zÀ-ÖØ-öø-ÿ]+')"
@@ -88,16 +88,13 @@ def masked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS value FROM documents), f AS (SELECT lower(value) AS value, min(doc_id) AS first_doc, count(*) AS n FROM m GROUP BY 1)
-       SELECT value, first_doc, n, dense_rank() OVER (PARTITION BY first_doc // 1000000 ORDER BY first_doc, value) AS number FROM f"""
+       SELECT value, first_doc, n, row_number() OVER (ORDER BY first_doc, value) AS number FROM f"""
 )
 def token_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values numbered by the document that has them first; numbers start anew in every million of ids, so no task ranks all."""
-    from pyspark.sql.window import Window
-
+    """Values numbered by the document that has them first."""
     m = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_MAIL), F.lit(0))).alias("value"))
     f = m.groupBy(F.lower("value").alias("value")).agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.floor(F.col("first_doc") / 1000000)).orderBy("first_doc", "value")
-    return f.select("value", "first_doc", "n", F.dense_rank().over(order).alias("number"))
+    return totals.numbered(f, [F.col("first_doc"), F.col("value")], F.floor(F.col("first_doc") / 100_000), "number")
 
 
 @query()
@@ -184,7 +181,7 @@ def phrase_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""SELECT n_nationkey, array_to_string(list_transform(list_filter(string_split(trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ('the', 'a', 'an', 'of', 'for', 'service')), lambda x: regexp_replace(x, '(ing|er|s)$', '')), '') AS name_key,
-               array_to_string(list_transform(regexp_extract_all(lower(n_name || n_nationkey), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(p, 12, '0') ELSE p END), '') AS natural_key FROM nation"""
+               array_to_string(list_transform(regexp_extract_all(lower(n_name || n_nationkey), '[0-9]+|[^0-9]+'), lambda p: CASE WHEN regexp_matches(p, '^[0-9]+$') THEN lpad(CAST(len(ltrim(p, '0')) AS VARCHAR), 4, '0') || ltrim(p, '0') ELSE p END), '') AS natural_key FROM nation"""
 )
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", X.name_key(F.col("n_name")).alias("name_key"), X.natural_key(F.concat("n_name", F.col("n_nationkey").cast("string"))).alias("natural_key"))

@@ -7,6 +7,7 @@ fails makes the read fail: an unknown listing must not look like an empty one. T
 from __future__ import annotations
 
 import json
+import re
 import urllib.parse
 import urllib.request
 from collections.abc import Iterable, Iterator
@@ -15,14 +16,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 
 SCHEMA = "id string, service string, flavor string, region string, unit string, currency string, price decimal(18,6), tier_from long, tier_to long"
 PAGE, MAX_PAGES = 10_000, 100
+_AMOUNT = re.compile(r"(-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)\s+[A-Z]{3}")
 
 
 def amount(text: object) -> str | None:
-    """``0.085000 EUR`` to its number; a decimal comma or anything else is unreadable, so null."""
-    parts = str(text or "").split()
-    if len(parts) != 2 or parts[0].count(".") > 1 or not parts[0].replace(".", "").removeprefix("-").isdigit():
-        return None
-    return parts[0]
+    """``0.085000 EUR`` or ``1,234.50 EUR`` to its number; a decimal comma or anything else is unreadable, so null."""
+    m = _AMOUNT.fullmatch(str(text or "").strip())
+    return m[1].replace(",", "") if m else None
 
 
 class Page(InputPartition):

@@ -35,14 +35,19 @@ def hourly(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a stream gives until its input is read, as a table in the shared folder; the last batch counts in complete mode."""
+    """All that a stream gives until its input is read, as a table in the shared folder; the last batch counts in complete mode.
+
+    A batch has a folder of its own by its number, so one that is run again writes over its first run."""
     spark, to = stream.sparkSession, _folder(stream.sparkSession)
+    seen: list[str] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{to}/rows")
+        path = f"{to}/rows/{'last' if mode == 'complete' else number}"
+        batch.write.mode("overwrite").parquet(path)
+        seen.append(path)
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{to}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{to}/rows")
+    return spark.read.schema(stream.schema).parquet(*dict.fromkeys(seen)) if seen else spark.createDataFrame([], stream.schema)
 
 
 def run_hours(spark: SparkSession, path: str) -> DataFrame:
@@ -50,8 +55,15 @@ def run_hours(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("window.start").alias("hour"), "event_type", "n_events", "total")
 
 
+#: An item that no end has come for within this time (of the clock) is given up.
+OPEN_FOR_MS = 30 * 24 * 3600 * 1000
+
+
 def pair_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The open item of a user: (first start, number of starts). An end closes it; the rows of a batch go in time order."""
+    if state.hasTimedOut:
+        state.remove()
+        return
     started, n = state.get if state.exists else (None, 0)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     out = []
@@ -65,13 +77,14 @@ def pair_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
     elif started is not None:
         state.update((started, n))
+        state.setTimeoutDuration(OPEN_FOR_MS)
     yield pd.DataFrame(out, columns=["user_id", "started", "ended", "n_starts"]).astype({"user_id": "int64", "n_starts": "int64", "started": "datetime64[ns]", "ended": "datetime64[ns]"})
 
 
 def pairs(stream: DataFrame) -> DataFrame:
     """Pairs as they close. Within a batch the order is by time; a batch must not be older than the one before."""
     rows = stream.where(F.col("event_type").isin("view", "purchase")).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(pair_group, PAIR, "started long, n long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(pair_group, PAIR, "started long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_pairs(spark: SparkSession, path: str) -> DataFrame:

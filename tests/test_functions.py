@@ -34,7 +34,7 @@ def test_tokens_are_stable():
     assert a == "<a@b.org> and <a@b.org>"
 
 
-@pytest.mark.parametrize(("text", "value"), [("1 + 2 * 3", "7"), ("round(2.345, 2)", "2.35"), ("-round(2.345, 2)", "-2.35"), ("2 * d", "48"), ("pct(200, 19)", "38"), ("max(1, sum(2, 3), 4)", "5"), ("0.1 + 0.2", "0.3")])
+@pytest.mark.parametrize(("text", "value"), [("1 + 2 * 3", "7"), ("round(2.345, 2)", "2.35"), ("-round(2.345, 2)", "-2.35"), ("2 * d", "48"), ("pct(20, 80)", "25"), ("2 ** 3 ** 2", "512"), ("-2 ** 2", "-4"), ("2 ** -1", "0.5"), ("1_000 * .5", "500"), ("1e3 + 1", "1001"), ("max(1, sum(2, 3), 4)", "5"), ("0.1 + 0.2", "0.3")])
 def test_calculator(text, value):
     assert calc.evaluate(text) == Decimal(value)
 
