@@ -9,7 +9,7 @@ optimum is exact: k distinct lengths need k (k - 1) / 2 words, so a table of W w
 for 30 GB). The cost of a bucket is Monge, so the best cut moves one way with the length, and the programme takes ``buckets`` x k x
 log k steps. A document longer than the budget is a batch of its own.
 
-Ranks are taken in sub-ranges of the id's hash, so a bucket with most of the documents is no single task. A null text has
+Ranks are taken in sub-ranges of a hash of id and text, so neither a bucket nor an id with most of the documents is a single task. A null text has
 length 0; null ids and rows that repeat an id are placed like any others. Equal optima go to the larger last bucket. An empty
 table gives no rows. Extra columns don't matter.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from corvane.llm import common as C
 
 BUCKETS, BUDGET = 16, 32768
+#: Rows of a sub-range at most, on average.
+RANGE = 500_000
 FAR = 1 << 62
 
 
@@ -76,17 +78,24 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return out[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """doc_id, n_tokens, bucket (its bound), batch, place, padding of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    rows = C.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text").cast("string")).alias("n_tokens")), "lengths")
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, whole: bool = False) -> DataFrame:
+    """doc_id, n_tokens, bucket (its bound), batch, place, padding of every row of ``docs`` (doc_id, text).
+
+    whole: the other columns of ``docs`` come along (behind these; a name that is taken gets ``doc_`` before it), so that what is
+    packed can be read batch by batch without a join."""
+    keys = ("doc_id", "n_tokens", "bucket", "batch", "place", "padding")
+    rest = [c for c in docs.columns if c != "doc_id"] if whole else []
+    carried = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_carried")] if rest else []
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(text).alias("n_tokens"), F.xxhash64("doc_id", text).alias("_row"), *carried)
+    rows = C.written(rows, "lengths")
     found = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()  # sqrt(2 W) rows, see above
-    bounds = best_bounds(np.asarray(found.column("n_tokens")), np.asarray(found.column("n")), buckets)
-    if not bounds:
-        bounds = [0]
+    counts = np.asarray(found.column("n"))
+    bounds = best_bounds(np.asarray(found.column("n_tokens")), counts, buckets) or [0]
     bound = F.coalesce(*[F.when(F.col("n_tokens") <= b, F.lit(b)) for b in bounds]).cast("long")
-    n_sub = max(64, 2 * C.partitions(spark) // len(bounds) + 1)
-    sub = F.pmod(F.xxhash64("doc_id"), F.lit(n_sub)).cast("int")
-    placed = C.ranked(rows.withColumn("bucket", bound), "bucket", [F.col("doc_id"), F.col("n_tokens")], sub, n_sub, "rank")
+    n_sub = max(64, int(counts.sum()) // RANGE)
+    sub = F.pmod(F.col("_row"), F.lit(n_sub)).cast("int")
+    placed = C.ranked(rows.withColumn("bucket", bound), "bucket", [F.col("doc_id"), F.col("n_tokens"), F.col("_row")], sub, n_sub, "rank")
     each = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1)))).cast("long")
-    return placed.select("doc_id", "n_tokens", "bucket", F.floor(F.col("rank") / each).cast("long").alias("batch"), F.pmod(F.col("rank"), each).cast("long").alias("place"), (F.col("bucket") - F.col("n_tokens")).alias("padding"))
+    along = [F.col(f"_carried.`{c}`").alias(f"doc_{c}" if c in keys else c) for c in rest]
+    return placed.select("doc_id", "n_tokens", "bucket", F.floor(F.col("rank") / each).cast("long").alias("batch"), F.pmod(F.col("rank"), each).cast("long").alias("place"), (F.col("bucket") - F.col("n_tokens")).alias("padding"), *along)
