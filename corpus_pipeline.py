@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Rows that a filter rejects go; the near-dedup keeps one row of each component, the one with the smallest id; suffix-array dedup
-rewrites texts (and n_chars); packing gives every document that is left its bucket, batch and place.
+rewrites texts (and n_chars); packing gives every document that is left its bucket, batch and place,
+and keeps its text and other columns, so that batches can be read as they are.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, whole=True)
 
 
 STAGES = [
