@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from corvane.llm import common as C
 
 WORDS, K = 5, 128
+#: Quantiles of the ids that are looked up; between them ranges are of one width.
+MARKS = 2048
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -57,11 +59,13 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_parts(parts: DataFrame, keys: list[str], column: str, k: int = K) -> DataFrame:
-    """One sketch for each key from the sketches of its parts. The k smallest are found by a distinct and a rank, so a key with
-    very many parts is first reduced on each side of the shuffle, part by part."""
-    salt = F.pmod(F.xxhash64(column), F.lit(64))
-    cut = lambda df, by: df.groupBy(*by).agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))), 1, k).alias(column))
-    return cut(cut(parts.withColumn("_salt", salt), [*keys, "_salt"]), keys)
+    """One sketch for each key from the sketches of its parts: distinct hashes, then the k smallest by rank. Equal hashes of a key meet
+    before anything is exchanged, and the ranks are cut in 64 slices of a key first (by the hash's low bits), so neither a list nor a
+    task grows with the parts of one key."""
+    each = parts.select(*keys, F.explode(column).alias("_h")).distinct().withColumn("_slice", F.pmod("_h", F.lit(64)))
+    cut = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_h"))).where(F.col("_n") <= k).drop("_n")
+    least = cut(cut(each, [*keys, "_slice"]), keys).groupBy(*keys).agg(F.sort_array(F.collect_list("_h")).alias(column))
+    return parts.select(*keys).distinct().join(least, keys, "left").select(*keys, F.coalesce(column, F.array().cast("array<bigint>")).alias(column))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -88,32 +92,44 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def _range_of(marks: list[int], fine: int) -> Column:
+    """The number of the range that ``_key`` falls in, ranges with the largest keys first: between two marks (quantiles) are
+    ``fine`` ranges of one width."""
+    if not marks:
+        return F.lit(0).cast("long")
+    coarse = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m >= F.col("_key")))
+    falling = [F.lit(m) for m in reversed(marks)]
+    high, low = F.array(*falling), F.array(*falling[1:], falling[-1])
+    inner = (coarse >= 1) & (coarse < len(marks))
+    lo, hi = F.element_at(low, coarse), F.element_at(high, coarse)
+    share = (hi.cast("double") - F.col("_key").cast("double")) / (hi.cast("double") - lo.cast("double"))
+    sub = F.when(inner, F.least(F.floor(share * fine), F.lit(fine - 1))).otherwise(F.lit(0))
+    return (coarse.cast("long") * fine + F.greatest(sub, F.lit(0))).cast("long")
+
+
 def with_next(docs: DataFrame, parts: int, k: int = K) -> DataFrame:
     """doc_id, text, its sketch ``a``, and ``next_text`` and ``next_a`` of the next row by descending id (after the last: the first).
 
-    Ids are cut into ``parts`` ranges at quantiles; each range is ordered by itself, and the first row of a range is also given
-    to the range before it, so no range needs another one and no task holds the order of all.
+    Ids are cut into ranges: at most ``MARKS`` quantiles, and ranges of one width between them where more are wanted. Each range is
+    ordered by itself, and the first row of a range is also given to the range before it, so no range needs another one and no task
+    holds the order of all. What is known of the ranges stays in a table (a row a range).
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("_key"))
-    marks = rows.agg(F.percentile_approx("_key", [i / parts for i in range(1, parts)], 10000)).head()[0] if parts > 1 else []
-    marks = sorted(set(marks or []))
-    n = len(marks) + 1
-    # range 0 has the largest ids: the number of marks that are at least the key
-    part = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m >= F.col("_key"))) if marks else F.lit(0)
-    rows = rows.withColumn("_part", part.cast("int"))
-    found = {r["_part"]: r["top"] for r in rows.groupBy("_part").agg(F.max("_key").alias("top")).collect()}  # a row a range: bounded by ``parts``
-    if not found:
-        return rows.select("doc_id", "text", sketch(F.col("text"), k).alias("a"), F.col("text").alias("next_text"), sketch(F.col("text"), k).alias("next_a"))
-    full = sorted(found)
-    before = {p: full[i - 1] for i, p in enumerate(full)}
+    coarse = min(parts, MARKS)
+    ends = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    found = rows.agg(*ends, F.percentile_approx("_key", [i / coarse for i in range(1, coarse)], 10000).alias("inner")).head() if coarse > 1 else None
+    marks = sorted({found["low"] - 1, found["high"], *found["inner"]}) if found and found["low"] is not None and found["low"] > -(1 << 63) else []
+    fine = -(-parts // coarse)
+    rows = rows.withColumn("_part", _range_of(marks, fine))
+    tops = rows.groupBy("_part").agg(F.max("_key").alias("_key"))
+    turn = Window.orderBy("_part")
+    tops = tops.withColumn("_to", F.coalesce(F.lag("_part").over(turn), F.max("_part").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     # of rows that repeat the first id of a range, the smallest text is the first
-    tops = rows.where(F.col("_key").isin(list(found.values())))
-    tops = tops.groupBy("_key", "_part").agg(F.min("text").alias("text"))
-    move = F.coalesce(*[F.when(F.col("_part") == p, F.lit(q)) for p, q in before.items()])
-    guests = tops.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("_key"), move.cast("int").alias("_part"), F.lit(True).alias("_guest"))
+    guests = rows.join(tops, ["_part", "_key"]).groupBy("_to").agg(F.min("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("_key"), F.col("_to").alias("_part"), F.lit(True).alias("_guest"))
     order = Window.partitionBy("_part").orderBy("_guest", F.desc("_key"), "text")
-    every = rows.withColumn("_guest", F.lit(False)).unionByName(guests).repartition(n, "_part")
+    every = rows.withColumn("_guest", F.lit(False)).unionByName(guests).repartition(parts, "_part")
     every = every.withColumn("a", sketch(F.col("text"), k))
     following = every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_a", F.lead("a").over(order))
     return following.where(~F.col("_guest")).select("doc_id", "text", "a", "next_text", "next_a")
@@ -121,8 +137,7 @@ def with_next(docs: DataFrame, parts: int, k: int = K) -> DataFrame:
 
 def fingerprint_edits(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row of ``docs``."""
-    spark = docs.sparkSession
-    parts = min(2048, max(2 * C.partitions(spark), C.text_bytes(docs) // (16 << 20)))
+    parts = C.block_count(C.text_bytes(docs))
     paired = with_next(docs, parts, k)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
