@@ -6,11 +6,16 @@ two sets with a Jaccard of 0.85 share no band with a chance of 8e-5 (20 bands of
 
 Documents with one set of shingles are one *class* (class id: the smallest doc_id). Only classes with a shared band go on.
 Their sets are made from their texts again, so that no set of any other document is stored.
-Links between classes are found without listing the pairs of a band group: in each round every member is paired with a few
-pivots of its group (the smallest by a hash of band, round and class), the pairs are verified on the full sets, and the links
-joined to components. Groups that hold more than one component go on. After the last round, what is left is compared in full
-in tiles: members are dealt over tiles of ``TILE``, and each pair of tiles is one task's work that emits links only between
-different components. No partner or candidate is capped, so nothing is lost to a large group.
+Links between classes are found without listing the pairs of a band group: in each round every member is paired with two
+pivots of its group (the ends by a hash of band, round and class), the pairs are verified on the full sets, and the links
+joined to components. Groups that hold more than one component go on. After the last round, what is left is compared across
+components only: members of a large component are dealt over tiles of their own, those of small ones over mixed tiles, and a pair
+of tiles of one component is never made, so one giant component beside a few others costs rows in proportion to its size. No
+partner or candidate is capped, so nothing is lost to a large group.
+
+Hot bands and pivots: a key with more than ``HOT`` members and more than a ten-thousandth of all rows is spread over as many salts
+as it has times ``HOT``; there are at most 10,000 such keys, so their list is broadcast. A pair's set of the member is joined
+first, by keys that nothing makes hot, then the pivot's, by key and salt.
 
 A null text or one without words has the empty set, links with nothing and is its own component. A null doc_id has no place in
 the order of ids: such rows come back with their shingle count, a null component and kept true. Rows that repeat an id share
@@ -30,7 +35,7 @@ WORDS, PERCENT = 5, 85
 BANDS, ROWS = 20, 6
 #: Percent, bands and rows of a stage that no contract holds to 85: at a Jaccard of 0.80 no shared band has a chance of 7e-6.
 STAGE = 80, 30, 5
-ROUNDS, TILE, SALTS = 3, 256, 16
+ROUNDS, TILE, HOT = 3, 256, 20_000
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands binary"
 
 
@@ -137,10 +142,28 @@ def _linked(batches, percent: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(ok, pa.bool_())), batch.column("b").filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
 
 
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """key, salts: the keys that many of the rows have; 10,000 at most, so the table can be broadcast."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counted.agg(F.sum("n").alias("n")).head()["n"] or 0
+    return C.written(counted.where((F.col("n") > HOT) & (F.col("n") * 10_000 > total)).select(key, F.ceil(F.col("n") / HOT).cast("int").alias("salts")), "hot")
+
+
+def spread(rows: DataFrame, key: str, other: DataFrame, hot: DataFrame, by: str = "cls") -> DataFrame:
+    """``rows`` joined with ``other`` on ``key``; a hot key's rows are dealt over its salts by ``by``, and what ``other`` has is copied."""
+    hot = F.broadcast(hot)
+    salt = F.coalesce(F.pmod(F.xxhash64(by), F.col("salts")).cast("int"), F.lit(0)).alias("salt")
+    dealt = rows.join(hot, key, "left").select(*rows.columns, salt)
+    copies = other.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return dealt.join(copies, [key, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets reach the threshold."""
+    """The pairs (a, b) of classes, a member and its pivot, whose full sets reach the threshold."""
     one, two = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(lambda it: _linked(it, percent), "a long, b long")
+    pivots = two.join(pairs.select("b").distinct(), "b", "left_semi")
+    met = spread(pairs.join(one, "a"), "b", pivots, hot_keys(pairs, "b"), "a")
+    return met.select("a", "b", "sa", "sb").mapInArrow(lambda it: _linked(it, percent), "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -195,11 +218,20 @@ def _tile(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
-def _by_band(live: DataFrame, per_band: DataFrame) -> DataFrame:
-    """Join on band; a band of very many members is spread over ``SALTS`` keys."""
-    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    wide = per_band.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return live.withColumn("salt", salt).join(wide, ["band", "salt"]).drop("salt")
+def _tiled(live: DataFrame, label: DataFrame, hot: DataFrame) -> DataFrame:
+    """band, cls, comp, i, j, side: the members of each pair of tiles of a band that can hold a link between two components."""
+    member = live.join(label, "cls")
+    sizes = member.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.when(F.col("n") >= TILE, F.col("comp")))
+    parts = sizes.groupBy("band", "part").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles"))
+    same = (F.col("s.band") == F.col("p.band")) & F.col("s.part").eqNullSafe(F.col("p.part"))
+    placed = sizes.alias("s").join(parts.alias("p"), same).select("s.band", "s.comp", "s.part", "p.tiles")
+    name = lambda part, k: F.xxhash64(F.coalesce(part, F.lit(-1)), part.isNull(), k)
+    dealt = member.join(placed, ["band", "comp"]).select("band", "cls", "comp", "part", name(F.col("part"), F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")).alias("tile"))
+    tiles = parts.select("band", F.col("part").alias("mate_part"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("k"))
+    tiles = tiles.select("band", "mate_part", name(F.col("mate_part"), F.col("k")).alias("mate"))
+    mates = spread(dealt, "band", tiles, hot).where(F.col("part").isNull() | F.col("mate_part").isNull() | (F.col("part") != F.col("mate_part")))
+    side = F.when(F.col("tile") == F.col("mate"), 2).when(F.col("tile") < F.col("mate"), 0).otherwise(1)
+    return mates.select("band", "cls", "comp", F.least("tile", "mate").alias("i"), F.greatest("tile", "mate").alias("j"), side.alias("side"))
 
 
 def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -212,8 +244,9 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BAN
     placed = C.written(own.select("doc_id", "set_key").join(member, "set_key").groupBy("doc_id").agg(F.min("cls").alias("cls"), F.max("cls").alias("other")), "placed")
     heads = own.join(member.withColumnRenamed("cls", "doc_id"), ["doc_id", "set_key"]).select(F.col("doc_id").alias("cls"), "bands")
     groups = C.written(heads.mapInArrow(_unrolled, "cls long, band long").distinct(), "bands")
+    hot = hot_keys(groups, "band")
     counted = groups.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
-    live = C.written(_by_band(groups, counted), "bands")
+    live = C.written(spread(groups, "band", counted, hot), "bands")
     wanted = live.select(F.col("cls").alias("doc_id")).distinct()
     sets = C.written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "cls long, shingles binary"), "sets")
     links = C.written(placed.where("cls <> other").select(F.col("cls").alias("a"), F.col("other").alias("b")), "ties")
@@ -222,22 +255,19 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BAN
     for turn in range(ROUNDS):
         mark = F.struct((F.xxhash64("band", "cls", F.lit(turn)) if turn else F.col("cls")).alias("h"), F.col("cls").alias("p"))
         pivot = live.groupBy("band").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).select("band", F.explode(F.array("lo.p", "hi.p")).alias("p"))
-        pairs = _by_band(live, pivot).where("cls <> p").select(F.least("cls", "p").alias("a"), F.greatest("cls", "p").alias("b")).distinct()
+        pairs = spread(live, "band", pivot, hot).where("cls <> p").select(F.col("cls").alias("a"), F.col("p").alias("b")).distinct()
         if label is not None:
             la, lb = label.select(F.col("cls").alias("a"), F.col("comp").alias("ca")), label.select(F.col("cls").alias("b"), F.col("comp").alias("cb"))
             pairs = pairs.join(la, "a").join(lb, "b").where("ca <> cb").select("a", "b")
+        pairs = C.written(pairs, "pairs")
         links = links.unionByName(C.written(verified(pairs, sets, percent), "links"))
         label = components(nodes, links)
         several = live.join(label, "cls").groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band")
-        live = C.written(_by_band(live, several), "bands")
+        live = C.written(spread(live, "band", several, hot), "bands")
         if not live.take(1):
             break
     else:  # what is left is compared in full, tile by tile
-        sized = live.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-        dealt = _by_band(live, sized).join(label, "cls").withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-        mates = dealt.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        side = F.when(F.col("tile") == F.col("mate"), 2).when(F.col("tile") < F.col("mate"), 0).otherwise(1)
-        mates = mates.select("band", "cls", "comp", F.least("tile", "mate").alias("i"), F.greatest("tile", "mate").alias("j"), side.alias("side"))
+        mates = _tiled(live, label, hot)
         tiles = mates.join(sets, "cls").groupBy("band", "i", "j").applyInArrow(lambda t: _tile(t, percent), "a long, b long")
         label = components(nodes, links.unionByName(C.written(tiles, "links")))
     whole = placed.select("doc_id", "cls").join(label, "cls", "left").select("doc_id", F.coalesce("comp", "cls").alias("comp"))
