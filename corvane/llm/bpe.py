@@ -2,8 +2,9 @@
 
 Words of the corpus that occur most (counted over all documents) are encoded once on the driver and compiled into a minimal
 acyclic automaton: equal suffixes share states, and numbers on the arcs add up to a word's place in the table of id outputs.
-The arrays go to every executor as one file that is memory-mapped, so its pages are shared by the workers. A word outside the
-lexicon is merged exactly, rank by rank. Either way the ids are those of the tokenizer's file.
+The arrays go to every executor as one file that is memory-mapped, so its pages are shared by the workers. A block's distinct
+words walk through the automaton together, a byte a step. A word outside the lexicon is merged exactly, rank by rank. Either
+way the ids are those of the tokenizer's file. Decoding looks every id's bytes up in one flat table.
 
 A null text is empty. Any text, of any length, with any characters is encoded whole. Repeated rows are encoded alike, rows keep
 their doc_id (also null), an empty table gives no rows, and extra columns don't matter.
@@ -11,16 +12,16 @@ their doc_id (also null), an empty table gives no rows, and extra columns don't
 
 from __future__ import annotations
 
+import atexit
 import json
 import mmap
 import os
-import re
-import struct
+import shutil
 import tempfile
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
@@ -30,6 +31,8 @@ from corvane.llm import common as C
 
 #: Entries of the lexicon, and words that one partition reports for it.
 LEXICON, REPORTED = 131072, 32768
+#: Bytes of the longest word in the lexicon, and bytes that a worker keeps for words merged before.
+LONGEST, MERGED_BYTES = 64, 96 << 20
 ENCODED = "doc_id long, n_tokens long, ids binary, decoded string"
 #: The published split of byte-level BPE: a fixed value.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -151,140 +154,237 @@ def compile_lexicon(words: list[bytes], outputs: list[list[int]]) -> dict[str, n
 
 
 class Lexicon:
-    """The memory-mapped automaton."""
+    """The memory-mapped automaton. Arcs are kept by state and byte, so an arc is found by bisection, for many words at once."""
 
-    NAMES = ("first", "label", "target", "skip", "ends", "out", "ids")
+    NAMES = {"arcs": np.int64, "target": np.int32, "skip": np.int32, "ends": np.uint8, "out": np.int32, "ids": np.uint32}
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        whole = memoryview(self.map)
-        head = whole[: 8 * 2 * len(self.NAMES)].cast("q").tolist()
-        at = dict(zip(self.NAMES, zip(head[::2], head[1::2])))
-        view = lambda name, kind: whole[at[name][0] : at[name][0] + at[name][1]].cast(kind)
-        self.first, self.target, self.skip, self.out = (view(n, "i") for n in ("first", "target", "skip", "out"))
-        self.ends = view("ends", "B")
-        self.label, self.ids = at["label"][0], at["ids"][0]
-        self.root = len(self.ends) - 1
+        head = np.frombuffer(self.map, np.int64, 2 * len(self.NAMES))
+        for k, (name, kind) in enumerate(self.NAMES.items()):
+            setattr(self, name, np.frombuffer(self.map, kind, int(head[2 * k + 1]), int(head[2 * k])))
 
     @classmethod
     def write(cls, arrays: dict[str, np.ndarray], path: str) -> None:
-        at, head, body = 8 * 2 * len(cls.NAMES), [], []
-        for name in cls.NAMES:
-            raw = arrays[name].tobytes()
-            head += [at, len(raw)]
+        state = np.repeat(np.arange(len(arrays["ends"])), np.diff(arrays["first"]))
+        arrays = {**arrays, "arcs": state * 256 + arrays["label"]}
+        at, head, body = 16 * len(cls.NAMES), [], []
+        for name, kind in cls.NAMES.items():
+            raw = np.ascontiguousarray(arrays[name], kind).tobytes()
+            head += [at, len(arrays[name])]
             body.append(raw + b"\0" * (-len(raw) % 8))
             at += len(body[-1])
         with open(path, "wb") as f:
             f.write(np.array(head, np.int64).tobytes() + b"".join(body))
 
-    def find(self, word: bytes) -> bytes | None:
-        """The ids of ``word``, four bytes each, or None. Arcs are looked up in the map itself."""
-        first, target, skip, find, base = self.first, self.target, self.skip, self.map.find, self.label
-        state, place = self.root, 0
-        for byte in word:
-            arc = find(_BYTE[byte], base + first[state], base + first[state + 1]) - base
-            if arc < 0:
-                return None
-            place += skip[arc]
-            state = target[arc]
-        if not self.ends[state]:
-            return None
-        return self.map[self.ids + 4 * self.out[place] : self.ids + 4 * self.out[place + 1]]
-
-
-_BYTE = [bytes([b]) for b in range(256)]
-
-
-def frequent_words(docs: DataFrame, size: int = LEXICON, reported: int = REPORTED) -> list[bytes]:
-    """Words that occur most in all documents. A partition reports its ``reported`` commonest; what falls below costs speed only."""
-
-    def counted(batches):
-        split, pieces, words = regex.compile(SPLIT), Counter(), Counter()
-
-        def settle() -> None:
-            # a piece's words are found once, however often it occurs; pieces met once so far can't be frequent
-            for piece, n in pieces.items():
-                if n > 1:
-                    for w in split.findall(" " + piece):
-                        words[w] += n
-            pieces.clear()
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    pieces.update(text.split(" "))
-            if len(pieces) > 16 * reported:
-                settle()
-            if len(words) > 32 * reported:
-                words = Counter(dict(words.most_common(8 * reported)))
-        settle()
-        top = [(w, n) for w, n in words.most_common(reported) if len(w) <= 64]
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word string, n long")
-    best = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return sorted(r["word"].encode() for r in best.select("word").toArrow().to_pylist())
-
+    def places(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of each word (bytes begin .. end of ``data``) in the table of outputs, -1 for words that are not there."""
+        found, place = np.full(len(begin), -1, np.int64), np.zeros(len(begin), np.int64)
+        state = np.full(len(begin), len(self.ends) - 1, np.int64)
+        on, at = np.flatnonzero(end - begin <= LONGEST), 0
+        while len(on):
+            over = end[on] - begin[on] == at
+            last = on[over]
+            here = last[self.ends[state[last]] > 0]
+            found[here] = place[here]
+            on = on[~over]
+            if not len(on) or not len(self.arcs):
+                break
+            wanted = state[on] * 256 + data[begin[on] + at]
+            arc = np.minimum(np.searchsorted(self.arcs, wanted), len(self.arcs) - 1)
+            goes = self.arcs[arc] == wanted
+            on, arc = on[goes], arc[goes]
+            place[on] += self.skip[arc]
+            state[on] = self.target[arc]
+            at += 1
+        return found
 
-class _Known(dict):
-    """Ids by word, four bytes each: from the lexicon, or merged. Emptied when it has ``limit`` words."""
 
-    def __init__(self, lexicon: Lexicon, merger: Merger, limit: int = 100_000):
-        super().__init__()
-        self.lexicon, self.merger, self.limit = lexicon, merger, limit
+def _table(*pairs: tuple[int, int]) -> np.ndarray:
+    out = np.zeros(256, bool)
+    for a, z in pairs:
+        out[a : z + 1] = True
+    return out
 
-    def ids_of(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = self.lexicon.find(raw)
-        if ids is None:
-            merged = self.merger.merge(raw)
-            ids = struct.pack(f"<{len(merged)}I", *merged)
-        return ids
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.ids_of(word)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = ids
-        return ids
+# White space as UTF-8, letters and marks of ASCII: fixed values of Unicode.
+_SPACES, _SINGLE, _C2, _E280 = _table((9, 13), (32, 32)), _table((9, 13)), _table((0x85, 0x85), (0xA0, 0xA0)), _table((0x80, 0x8A), (0xA8, 0xA9), (0xAF, 0xAF))
+_LETTERS, _MARKS = _table((65, 90), (97, 122)), _table((33, 47), (58, 64), (91, 96), (123, 126))
 
 
-class _Pieces(dict):
-    """Ids by piece: what stands between two single blanks, with the blank before it.
+def piece_starts(block: C.Block) -> np.ndarray:
+    """Where the pieces of a block begin: at each document, and at places where every match of the published split ends.
 
-    The published split never takes a blank in the middle of a match where other characters stand on both sides, so a text cut
-    at such blanks is encoded piece by piece. Emptied when it has ``limit`` pieces.
+    These are: before white space that follows anything else; between a letter (ASCII, or two bytes of Latin-1) and an ASCII mark;
+    behind a single line break or tab between two other characters. A space beyond ASCII ends no piece and lets none begin.
     """
+    d = block.data
+    n = len(d)
+    edge = np.zeros(n + 1, bool)
+    edge[block.start] = True
+    if n < 2:
+        return np.flatnonzero(edge[:n])
+    inner = ~edge[1:n]  # between d[:-1] and d[1:] of one document
+    back = lambda at, k: d[np.maximum(at - k, 0)]
+
+    def ends_wide(at: np.ndarray) -> np.ndarray:
+        """Whether a space beyond ASCII ends before ``at``."""
+        a, b, c = back(at, 3), back(at, 2), back(at, 1)
+        return ((b == 0xC2) & _C2[c]) | ((a == 0xE1) & (b == 0x9A) & (c == 0x80)) | ((a == 0xE3) & (b == 0x80) & (c == 0x80)) | ((a == 0xE2) & (b == 0x80) & _E280[c]) | ((a == 0xE2) & (b == 0x81) & (c == 0x9F))
+
+    space = _SPACES[d]
+    run = np.flatnonzero(space[1:] & ~space[:-1] & inner) + 1
+    high = np.flatnonzero(back(run, 1) >= 0x80)
+    wide = np.zeros(len(run), bool)
+    wide[high] = ends_wide(run[high])
+    run = run[~wide]
+    edge[run] = True
+    # a single break: the character behind it is no space of any kind (a lead byte that could begin one does not count)
+    one = run[_SINGLE[d[run]] & (run + 1 < n)]
+    nxt = d[np.minimum(one + 1, n - 1)]
+    one = one[~edge[one + 1] & ~_SPACES[nxt] & ~np.isin(nxt, (0xC2, 0xE1, 0xE2, 0xE3))]
+    edge[one + 1] = True
+    mark = np.flatnonzero(_MARKS[d[1:]] & inner) + 1
+    latin = (back(mark, 2) == 0xC3) & (back(mark, 1) != 0x97) & (back(mark, 1) != 0xB7) & (back(mark, 1) >= 0x80)
+    edge[mark[_LETTERS[back(mark, 1)] | latin]] = True
+    return np.flatnonzero(edge[:n])
+
+
+def _distinct(block: C.Block, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By piece the number of its text among the distinct ones, and their bytes end to end with offsets."""
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.append(starts, len(block.data)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(block.data)])
+    coded = pieces.dictionary_encode()
+    words = coded.dictionary
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.asarray(coded.indices).astype(np.int64), np.frombuffer(words.buffers()[2], np.uint8), bounds
 
-    def __init__(self, known: _Known, limit: int = 1_000_000):
-        super().__init__()
-        self.known, self.limit, self.split = known, limit, regex.compile(SPLIT)
 
-    def whole(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.split.findall(text)))
+def frequent_words(docs: DataFrame, size: int = LEXICON, reported: int = REPORTED) -> list[bytes]:
+    """Words (pieces between blanks, with the blank before them) that occur most in all documents. A partition reports its
+    ``reported`` commonest; what falls below costs speed only."""
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        # letters alone, with the blank before them, are one word of the split
-        ids = self[piece] = self.known.ids_of(" " + piece) if piece.isalpha() else self.whole(" " + piece)
+    def counted(batches):
+        kept = pa.table({"word": pa.array([], pa.large_binary()), "n": pa.array([], pa.int64())})
+        for table in C.cut_batches(batches):
+            block = C.Block(table)
+            piece, data, bounds = _distinct(block, piece_starts(block))
+            n = np.bincount(piece, minlength=len(bounds) - 1)
+            often = np.flatnonzero((n > 1) & (np.diff(bounds) <= LONGEST))
+            words = pa.array([data[a:z].tobytes() for a, z in zip(bounds[often].tolist(), bounds[often + 1].tolist())], pa.large_binary())
+            kept = pa.concat_tables([kept, pa.table({"word": words, "n": pa.array(n[often], pa.int64())})])
+            if kept.num_rows > 32 * reported:
+                kept = _commonest(kept, 8 * reported)
+        kept = _commonest(kept, reported)
+        yield pa.RecordBatch.from_arrays([kept.column("word").combine_chunks().cast(pa.binary()), kept.column("n").combine_chunks()], names=["word", "n"])
+
+    source = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = source.mapInArrow(counted, "word binary, n long")
+    best = found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return sorted(best.select("word").toArrow().column("word").to_pylist())
+
+
+def _commonest(words: pa.Table, most: int) -> pa.Table:
+    summed = words.group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+    return summed.take(pc.select_k_unstable(summed, k=min(most, summed.num_rows), sort_keys=[("n", "descending"), ("word", "ascending")])) if summed.num_rows else summed
+
+
+class Encoder:
+    """One worker's automaton and merger, and the ids of short words that were merged lately (bounded by their bytes)."""
+
+    def __init__(self, lexicon: Lexicon, merger: Merger, most: int = MERGED_BYTES):
+        self.lexicon, self.merger, self.most = lexicon, merger, most
+        self.split, self.merged, self.held = regex.compile(SPLIT), {}, 0
+        top = max(merger.bytes) + 1
+        table = [merger.bytes.get(i, b"") for i in range(top)]
+        self.letters, self.at = np.frombuffer(b"".join(table), np.uint8), np.r_[0, np.cumsum([len(x) for x in table])]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(merger.special, key=len, reverse=True)))) if merger.special else None
+
+    def ids_of(self, word: bytes) -> bytes:
+        """The ids, four bytes each, of a word that the lexicon doesn't have."""
+        found = self.merged.get(word)
+        if found is not None:
+            return found
+        ids = np.array(self.plain(word.decode()), np.uint32).tobytes()
+        if len(word) <= LONGEST:
+            self.held += len(word) + len(ids) + 200
+            if self.held > self.most:
+                self.merged.clear()
+                self.held = 0
+            self.merged[word] = ids
         return ids
 
-
-_RUN = re.compile(r"\s\s|^\s|\s$")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def encoded_text(text: str, pieces: _Pieces) -> bytes:
-    if not text:
-        return b""
-    cut = text.split(" ") if _RUN.search(text) is None else _CUT.split(text)
-    return pieces.whole(cut[0]) + b"".join(map(pieces.__getitem__, cut[1:]))
-
-
-#: One worker's lexicon, merger and pieces, kept between its tasks.
-_KNOWN: dict[str, _Pieces] = {}
+    def with_special(self, text: str) -> list[int]:
+        """A text in which the names of special tokens stand."""
+        ids, at = [], 0
+        for m in self.special.finditer(text):
+            ids += self.plain(text[at : m.start()]) + [self.merger.special[m.group()]]
+            at = m.end()
+        return ids + self.plain(text[at:])
+
+    def plain(self, text: str) -> list[int]:
+        return [i for w in self.split.findall(text) for i in self.merger.merge(w.encode())]
+
+    def encoded(self, block: C.Block) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all documents end to end, and where each document's begin."""
+        starts = piece_starts(block)
+        piece, data, bounds = _distinct(block, starts)
+        n_words = len(bounds) - 1
+        places = self.lexicon.places(data, bounds[:-1], bounds[1:])
+        known, other = np.flatnonzero(places >= 0), np.flatnonzero(places < 0)
+        merged = [self.ids_of(data[a:z].tobytes()) for a, z in zip(bounds[other].tolist(), bounds[other + 1].tolist())]
+        size, at = np.zeros(n_words, np.int64), np.zeros(n_words, np.int64)
+        out = self.lexicon.out.astype(np.int64)
+        at[known], size[known] = out[places[known]], out[places[known] + 1] - out[places[known]]
+        size[other] = [len(x) // 4 for x in merged]
+        at[other] = len(self.lexicon.ids) + np.r_[0, np.cumsum(size[other])[:-1]][: len(other)]
+        source = np.concatenate([self.lexicon.ids, np.frombuffer(b"".join(merged), np.uint32)])
+        ids, first = _gathered(source, at[piece], size[piece])
+        return ids, first[np.searchsorted(starts, block.start)]
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, and where each id's begin."""
+        return _gathered(self.letters, self.at[ids], self.at[ids.astype(np.int64) + 1] - self.at[ids])
+
+
+def _gathered(source: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``source`` that begin at ``at``, end to end, and where each begins (with the total at the end)."""
+    first = np.r_[0, np.cumsum(size)]
+    return source[np.repeat(at - first[:-1], size) + np.arange(first[-1])], first
+
+
+def _binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    bounds = np.ascontiguousarray(bounds, np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encoded_batch(table: pa.Table, encoder: Encoder) -> pa.RecordBatch:
+    """doc_id, n_tokens, ids, decoded of the rows of a table, in the order of a block."""
+    block = C.Block(table)
+    ids, first = encoder.encoded(block)
+    if encoder.special is not None:
+        raw = block.data.tobytes()
+        names = [n.encode() for n in encoder.merger.special]
+        if any(n in raw for n in names):
+            parts = [ids[a:z] for a, z in zip(first[:-1].tolist(), first[1:].tolist())]
+            for i, (a, z) in enumerate(zip(block.start[:-1].tolist(), block.start[1:].tolist())):
+                if any(n in raw[a:z] for n in names):
+                    parts[i] = np.array(encoder.with_special(raw[a:z].decode()), np.uint32)
+            ids, first = np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+    letters, at = encoder.decoded(ids)
+    texts = _binary(letters, at[first])
+    try:
+        texts = texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
+    return pa.RecordBatch.from_arrays([block.id_column(), pa.array(np.diff(first), pa.int64()), _binary(ids.astype("<u4").view(np.uint8), 4 * first).cast(pa.binary()), texts], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+
+#: One worker's encoder, kept between its tasks.
+_KNOWN: dict[str, Encoder] = {}
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXICON) -> DataFrame:
@@ -292,36 +392,21 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXI
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
-    merger = Merger(json.loads(raw))
+    encoder = Encoder(None, Merger(json.loads(raw)))
     words = frequent_words(docs, lexicon_size)
     folder = tempfile.mkdtemp(prefix="corvane-lexicon-")
+    atexit.register(shutil.rmtree, folder, True)
     name = f"lexicon-{os.path.basename(folder)}.bin"
-    Lexicon.write(compile_lexicon(words, [merger.merge(w) for w in words]), f"{folder}/{name}")
+    Lexicon.write(compile_lexicon(words, [encoder.plain(w.decode()) for w in words]), f"{folder}/{name}")
     spark.sparkContext.addFile(f"{folder}/{name}")  # a few MB: at most ``lexicon_size`` words; executors fetch it from the driver
     spec = spark.sparkContext.broadcast(raw)  # the vocabulary file: its size doesn't depend on the data
 
     def encoded(batches):
         if name not in _KNOWN:
             _KNOWN.clear()
-            _KNOWN[name] = _Pieces(_Known(Lexicon(SparkFiles.get(name)), Merger(json.loads(spec.value))))
-        pieces = _KNOWN[name]
-        exact = pieces.known.merger
-        special = regex.compile("(" + "|".join(map(regex.escape, exact.special)) + ")") if exact.special else None
-        table = [exact.bytes.get(i, b"") for i in range(max(exact.bytes) + 1)]
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                all_ids, texts, counts = [], [], []
-                for text in part.column("text").to_pylist():
-                    text = text or ""
-                    if special is not None and special.search(text):
-                        ids = b"".join(np.uint32(exact.special[p]).tobytes() if p in exact.special else encoded_text(p, pieces) for p in special.split(text))
-                    else:
-                        ids = encoded_text(text, pieces)
-                    all_ids.append(ids)
-                    counts.append(len(ids) // 4)
-                    texts.append(b"".join(map(table.__getitem__, np.frombuffer(ids, np.uint32).tolist())).decode("utf-8", "replace"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(all_ids, pa.binary()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
+            _KNOWN[name] = Encoder(Lexicon(SparkFiles.get(name)), Merger(json.loads(spec.value)))
+        for table in C.cut_batches(batches):
+            yield encoded_batch(table, _KNOWN[name])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(encoded, ENCODED)
@@ -329,5 +414,3 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, lexicon_size: int = LEXI
 
 def digest(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
