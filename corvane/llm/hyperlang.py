@@ -12,7 +12,8 @@ still accepted, so that a text of a few words is not lost. A language with one l
 
 Prototypes are learned from at most ``sample`` rows with a language (the smallest by a hash of the id); every whole text is
 compared. A text that is null or has no letter gets ``und`` and score 0, as does every text when nothing was learned. Equal
-cosines go to the language that sorts first. Repeated rows are treated alike; extra columns don't matter.
+cosines go to the language that sorts first. Repeated rows are treated alike; a text of any length is compared whole; an empty table
+gives no rows; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -215,7 +216,8 @@ def languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs``, all columns, that are like the language they get: at ``share`` or more of its median likeness."""
+    """The rows of ``docs``, all columns, that are like the language they get: at ``share`` or more of its median likeness. Texts that are
+    null or have no letter go; null ids and rows that repeat are rows like any others; an empty table stays empty."""
     kept: dict[str, Trigrams] = {}
 
     def like(text: pa.Array) -> pa.Array:

@@ -1,13 +1,14 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` bytes. Each passage becomes a vector of byte statistics, a hidden layer encodes
-it, and a gated attention (tanh times sigmoid) weighs the passages; the weighted mean goes to one logistic output. Only the
-document has a label; the weights of passages are learned from it.
+A document is a bag of passages of ``PASSAGE`` bytes. Each passage becomes a vector of byte statistics and of its words and pairs of
+words, hashed; a hidden layer encodes it, and a gated attention (tanh times sigmoid) weighs the passages; the weighted mean goes to
+one logistic output. Only the document has a label; the weights of passages are learned from it.
 
 The model is fitted on the driver by Adam, on at most ``sample`` labelled rows (the smallest by a hash of the id), fewer once they
-have ``most`` passages (29 MB), each with all its passages; scoring reads every passage of every document. A null or empty text is one
+have ``most`` passages (80 MB), each with all its passages; scoring reads every passage of every document. A null or empty text is one
 passage without bytes and gets a score too. Rows without a usable label teach nothing; with no labels, or one label only, the
-score is the share of label 1 (0.5 without labels). Repeated rows are scored alike. Extra columns don't matter.
+score is the share of label 1 (0.5 without labels). Repeated rows are scored alike; a score at the threshold is accepted; a text of
+any length is scored whole; an empty table gives no rows. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ def _classes() -> np.ndarray:
 
 
 KINDS = _classes()
-N_FEATURES = 10 + 10 + 10 + 6
+#: Words and pairs of words are hashed into so many places each.
+PLACES = 32
+N_FEATURES = 10 + 10 + 10 + 6 + 2 * PLACES
 
 
 def passages(block: C.Block) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,11 @@ def passages(block: C.Block) -> tuple[np.ndarray, np.ndarray]:
         far = (hashes[4:] == hashes[:-4]) & (of[4:] == of[:-4])
         out[:, 34] = np.bincount(of[4:][far], minlength=n) / long
     out[:, 35] = np.log1p(words) / 5
+    place_of = lambda h: (h >> np.uint64(59)).astype(np.int64)
+    pairs = C.windows_hash(hashes, 2)
+    inside = of[1:] == of[:-1]
+    out[:, 36 : 36 + PLACES] = np.bincount(of * PLACES + place_of(hashes), minlength=n * PLACES).reshape(n, PLACES) / long[:, None]
+    out[:, 36 + PLACES :] = np.bincount((of[1:] * PLACES + place_of(pairs))[inside], minlength=n * PLACES).reshape(n, PLACES) / long[:, None]
     return out, first
 
 
@@ -164,7 +172,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> AttentionModel:
     """A model from at most ``sample`` labelled rows outside the held-out quarter. Executors make the vectors of the passages, so
-    the driver gets 144 bytes a passage, never a text. Rows are taken whole, in order, until they have ``most`` passages."""
+    the driver gets 400 bytes a passage, never a text. Rows are taken whole, in order, until they have ``most`` passages."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -200,7 +208,8 @@ def quality_scores(docs: DataFrame, model: AttentionModel, threshold: float = TH
 
 
 def keep_good(docs: DataFrame, model: AttentionModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that the model accepts. The score is a column made beside the text: no join."""
+    """The rows of ``docs``, all columns, that the model accepts. The score is a column made beside the text: no join. Null and empty texts
+    are scored as one passage without bytes; null ids and rows that repeat are rows like any others; an empty table stays empty."""
 
     def flagged(text: pa.Array) -> pa.Array:
         out = []

@@ -306,9 +306,11 @@ def test_lexicon_is_exact_and_minimal(tmp_path_factory, found):
     path = str(tmp_path_factory.mktemp("lexicon") / "x.bin")
     bpe.Lexicon.write(arrays, path)
     lexicon = bpe.Lexicon(path)
-    for k, w in enumerate(listed):
-        assert lexicon.find(w) == np.array([k, k + 1], np.uint32).tobytes()
-    assert lexicon.find(b"") is None and lexicon.find(b"not in it at all") is None
+    asked = [*listed, b"", b"not in it at all"]
+    ends = np.cumsum([len(w) for w in asked])
+    places = lexicon.places(np.frombuffer(b"".join(asked), np.uint8), ends - [len(w) for w in asked], ends)
+    assert places.tolist() == [*range(len(listed)), -1, -1]
+    assert [lexicon.ids[lexicon.out[k] : lexicon.out[k + 1]].tolist() for k in range(len(listed))] == [[k, k + 1] for k in range(len(listed))]
     suffixes = {frozenset(w[len(p) :] for w in listed if w.startswith(p)) for w in listed for p in (w[:i] for i in range(len(w) + 1))}
     assert len(arrays["ends"]) == max(1, len(suffixes))
 
@@ -364,19 +366,128 @@ def test_sketch_algebra(spark):
     assert {x.k: x.s for x in fingerprints.merge_parts(parts, ["k"], "s", 2).collect()} == {1: [1, 2], 2: [7]}
 
 
-def test_pieces_encode_as_the_whole():
+def test_pieces_encode_as_the_whole(tmp_path):
     import json
     import random
 
+    import pyarrow as pa
+
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
 
     path = public.path("byte_bpe_50k.json")
     with open(path, encoding="utf-8") as f:
         merger = bpe.Merger(json.load(f))
-    pieces = bpe._Pieces(bpe._Known(type("None_", (), {"find": lambda self, word: None})(), merger))
+    listed = sorted([b" bc", b"a", b" a", b" 12", b"bc!", " é".encode()])
+    maker = bpe.Encoder(None, merger)
+    bpe.Lexicon.write(bpe.compile_lexicon(listed, [maker.plain(w.decode()) for w in listed]), str(tmp_path / "x.bin"))
+    encoder = bpe.Encoder(bpe.Lexicon(str(tmp_path / "x.bin")), merger, 20_000)
     exact, rng = Tokenizer.from_file(path), random.Random(1)
-    parts = [" ", "  ", "\n", "\t", " ", "　", "a", "bc", "'s", "'ll", "12", "!", "..", "é", "漢", "🙂", "\r\n", "\x0b", "\x85", "X", "don't", "z" * 300]
-    for _ in range(4000):
-        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
-        assert np.frombuffer(bpe.encoded_text(text, pieces), np.uint32).tolist() == exact.encode(text, add_special_tokens=False).ids
+    parts = [" ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\u2028", "\u205f", "\u1680", "\x1c", "a", "bc", "'s", "'ll", "12", "!", "..", "é", "漢", "—", "«", "🙂", "\r\n", "\x0b", "\x85", "X", "don't", "z" * 300, "<|endoftext|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    for at in range(0, len(texts), 500):
+        some = texts[at : at + 500]
+        got = bpe.encoded_batch(pa.table({"doc_id": pa.array(range(len(some)), pa.int64()), "text": some}), encoder)
+        for text, ids, n, decoded in zip(some, got.column("ids").to_pylist(), got.column("n_tokens").to_pylist(), got.column("decoded").to_pylist()):
+            want = exact.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(ids, np.uint32).tolist() == want and n == len(want) and decoded == exact.decode(want, skip_special_tokens=False), text
+
+
+def test_word_hashes_tell_structured_words_apart():
+    """A Thue-Morse word and its complement collide in every polynomial hash modulo a power of two; words of one prefix differ."""
+    import pyarrow as pa
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    listed = [word, word.translate(str.maketrans("ab", "ba")), word[:256], word[:257], "x", "x\x00", "abcdefgh", "abcdefghi", "ABCDEFGH", *(f"w{i}" for i in range(5000))]
+    block = C.Block(pa.table({"doc_id": [1], "text": [" ".join(listed)]}))
+    starts, ends, first = C.words_of(block)
+    assert first.tolist() == [0, len(listed)]
+    for which in (0, 1):
+        assert len(set(C.word_hashes(block, starts, ends, which).tolist())) == len(listed)
+    lowered = C.word_hashes(block, starts, ends, lower=True)
+    assert lowered[6] == lowered[8] and len(set(lowered.tolist())) == len(listed) - 1
+    values = np.arange(60, dtype=np.uint64) % np.uint64(7)
+    for size in (1, 2, 5, 8, 35):
+        got, want = C.windows_hash(values, size), [tuple(values[i : i + size].tolist()) for i in range(60 - size + 1)]
+        assert len(got) == len(want) and len(set(zip(got.tolist(), want))) == len(set(want)) == len(set(got.tolist()))
+
+
+def test_words_end_with_their_document():
+    import pyarrow as pa
+
+    texts = ["ab", "cd ", "", None, " e", "f\ng", "h"]
+    block = C.Block(pa.table({"doc_id": pa.array(range(7), pa.int64()), "text": pa.array(texts, pa.string())}))
+    starts, ends, first = C.words_of(block)
+    data = block.data.tobytes().decode()
+    assert [data[a:z] for a, z in zip(starts, ends)] == ["ab", "cd", "e", "f", "g", "h"] and first.tolist() == [0, 1, 2, 2, 2, 3, 5, 6]
+
+
+def test_texts_longer_than_a_block_and_one_id_for_most_rows(spark, rows):
+    """40 blocks for some 90 KB: the longest text is many times a block. One id stands for three quarters of all rows."""
+    from pyspark.sql import types as T
+
+    text = dict(enumerate(t for _, t in rows))
+    found = [(7, t) for t in text.values()] * 3 + [(i, t) for i, t in enumerate(text.values())]
+    docs = spark.createDataFrame(found, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())]))
+    blocks, heads = C.in_blocks(docs, 40)
+    per = [r["count"] for r in blocks.groupBy("block").count().collect()]
+    assert sum(per) == len(found) and max(per) < len(found) / 4 and heads.count() == len(set(text.values()))
+    by_doc = {(r.doc_id, r.kept_sha256) for r in substring.substring_dedup(docs, n_blocks=40).collect()}
+    assert len(by_doc) > 10
+    kept = suffixarray.suffix_array_dedup(docs, n_blocks=40).collect()
+    assert len(kept) == len(found) and all(r.n_removed == 0 or r.n_bytes >= 50 for r in kept)
+    assert len(packing.pack(docs).collect()) == len(found)
+    assert minhash.minhash_near_dedup(docs).count() == len(found)
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT", 10)
+    rows = spark.createDataFrame([(1, i) for i in range(95)] + [(k, 1000 + k) for k in range(2, 30)], "band long, cls long")
+    hot = minhash.hot_keys(rows, "band")
+    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
+    other = rows.select("band").distinct().withColumn("mark", rows["band"] * 10)
+    out = minhash.spread(rows, "band", other, hot)
+    assert out.columns == ["band", "cls", "mark"] and out.count() == 123 and out.where("mark <> band * 10").count() == 0
+
+
+def test_top_k_over_chunks_and_lengths(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("CHUNK", 40), ("CHUNKS", 2), ("QUERY_BLOCK", 3)):
+        monkeypatch.setattr(vafile, name, value)
+    rng = np.random.default_rng(8)
+    vectors = [(i, [float(x) for x in rng.normal(size=4 + i % 2)]) for i in range(200)] + [(40, [1.0, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, np.floor(64 * np.array(v)).astype(int)) for i, v in vectors]
+    want = Counter()
+    for q, v in whole:
+        if q % 20 == 0:
+            best = sorted((-int(v @ x), i) for i, x in whole if i != q and len(x) == len(v))[:20]
+            want.update((q, k + 1, i, -s) for k, (s, i) in enumerate(best))
+    assert Counter(tuple(r) for r in vafile.exact_top_k(table).collect()) == want
+
+
+def test_bottom_k_against_brute_force(spark):
+    """Prints and likeness, from the distinct hashes of the shingles themselves."""
+    from pyspark.sql import functions as F
+
+    texts = [" ".join(f"w{(i * 7 + j) % 90}" for j in range(n)) for i, n in enumerate((0, 3, 5, 40, 200, 300, 300))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    hashes = {r.doc_id: sorted(set(r.h)) for r in df.select("doc_id", fingerprints.shingle_hashes(F.col("text")).alias("h")).collect()}
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(df, 16).collect()}
+    for i, h in hashes.items():
+        assert got[i].fingerprint == "".join(f"{x & (2**64 - 1):016x}" for x in h[:16])
+        a, b = h[:16], hashes[(i - 1) % len(texts)][:16]
+        union = sorted(set(a) | set(b))[:16]
+        assert got[i].near_next == (len([x for x in union if x in a and x in b]) / len(union) if union else 1.0)
+
+
+def test_ranges_of_ids_beyond_the_marks(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MARKS", 3)
+    ids = [*range(0, 400, 3), 10_000, None, None]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string")
+    out = fingerprints.with_next(df, 12).collect()
+    order = sorted(((2**63 if i is None else i), f"text {k}") for k, i in enumerate(ids))
+    order.sort(key=lambda x: (-x[0], x[1]))
+    following = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
+    assert {r.text: r.next_text for r in out} == following

@@ -39,3 +39,33 @@ def test_near_dedup_stage_over_the_corner_cases(spark, docs, rows):
     out = corpus_pipeline.minhash_near_dedup(spark, docs, "").collect()
     texts = [r.text for r in out if r.text and len(r.text.split()) > 4]
     assert len(texts) == len(set(texts)) and {r.doc_id for r in out} >= {1, 2, 30} and sum(r.doc_id == 1 for r in out) == 1
+
+
+def test_filters_over_the_corner_cases(spark, docs, no_docs, sf_dir):
+    """Nulls, clashing names, repeated rows and empty tables: rows come back whole, or not at all."""
+    from collections import Counter
+
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.language_id, corpus_pipeline.suffix_array_dedup):
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.where("block <> 'clash' or carried <> 'clash'").count() == 0
+        assert not Counter(r.doc_id for r in out.collect()) - Counter(r.doc_id for r in docs.collect())
+        assert stage(spark, no_docs, sf_dir).count() == 0
+    assert corpus_pipeline.minhash_near_dedup(spark, no_docs, sf_dir).count() == 0
+
+
+def test_packing_carries_the_rows(spark, docs, rows, no_docs):
+    out = corpus_pipeline.packing(spark, docs, "")
+    assert out.columns[:6] == ["doc_id", "n_tokens", "bucket", "batch", "place", "padding"] and {"text", "lang", "source", "block"} <= set(out.columns)
+    got = out.collect()
+    assert len(got) == len(rows) and sorted((r.doc_id or -1, r.text or "") for r in got) == sorted(((-1 if i is None else i), t or "") for i, t in rows)
+    assert len({(r.bucket, r.batch, r.place) for r in got}) == len(rows) and all(r.block == "clash" for r in got)
+    assert corpus_pipeline.packing(spark, no_docs, "").count() == 0
+
+
+def test_language_stage_keeps_what_it_learned_and_drops_the_rest(spark, sf_dir):
+    from corvane.llm import common as C
+
+    known = C.read(spark, sf_dir, "documents").where("length(text) > 300 and lang is not null")
+    odd = spark.createDataFrame([(10**9, "qxzj wqkx zzxq jqwz " * 40, "en"), (10**9 + 1, "12 34 56", "en"), (10**9 + 2, None, "en")], "doc_id long, text string, lang string")
+    out = corpus_pipeline.language_id(spark, known.select("doc_id", "text", "lang").unionByName(odd), sf_dir)
+    assert out.where("doc_id >= 1000000000").count() == 0 and out.count() >= 0.98 * known.count()
