@@ -102,7 +102,7 @@ def turns(calls: DataFrame, interval_seconds: float) -> DataFrame:
 
     order = Window.partitionBy("host").orderBy("asked", "id")
     gap = int(interval_seconds * 1_000_000)
-    n = F.row_number().over(order) - 1
+    n = (F.row_number().over(order) - 1).cast("long")
     rows = calls.withColumn("_n", n).withColumn("_base", F.unix_micros("asked") - F.col("_n") * gap)
     starts = F.max("_base").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * gap
     return rows.select("host", "id", "asked", F.timestamp_micros(starts).alias("starts"))

@@ -137,7 +137,8 @@ def listed_services(spark: SparkSession, path: str) -> DataFrame:
     """name, forms (array), offered, status, ends: a Markdown list of services, with a section of those that are not offered."""
     rows = numbered(spark, path)
     heads = rows.where("text like '## %'").select("file", F.col("line").alias("at"), F.lower("text").contains("not offered").alias("gone"))
-    last = rows.where("text like '- %'").join(heads, "file", "left").where("at is null or at < line").groupBy("file", "line", "text").agg(F.max_by("gone", "at").alias("gone"))
+    above = F.when(F.col("at") < F.col("line"), F.col("at"))
+    last = rows.where("text like '- %'").join(heads, "file", "left").groupBy("file", "line", "text").agg(F.max_by("gone", above).alias("gone"))
     gone = F.coalesce("gone", F.lit(False))
     form = r"^- (?:\S+ )(.+?)(?: \(([^()]*)\))?(?:, (optional|preview))?(?:; (.+))?$"
     gone_form = r"^- (.+?)(?: \(([^()]*)\))?$"
