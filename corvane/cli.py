@@ -28,7 +28,7 @@ def _shown(df, out: str | None) -> int:
 
 
 def _run(args) -> int:
-    from corvane.plans import activity, base, checks, facts, planted, pricing, registry, relational, search, text, values  # noqa: F401
+    from corvane.plans import activity, base, checks, facts, planted, pricing, registry, relational, resources, search, text, values  # noqa: F401
 
     if args.name not in registry.QUERIES:
         print("\n".join(sorted(registry.QUERIES)))

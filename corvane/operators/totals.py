@@ -34,3 +34,19 @@ def numbered(rows: DataFrame, order: list[Column], part: Column, name: str) -> D
     offsets = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return rows.withColumn("_nth", nth).join(offsets, "_part").withColumn(name, F.col("_nth") + F.col("_ahead")).drop("_part", "_nth", "_ahead")
+
+
+def nearest_ranks(rows: DataFrame, group: str, value: str, shares: dict[str, float], part: Column) -> DataFrame:
+    """group and a column for each share: the value at rank ceil(share x n) of the group.
+
+    ``part`` must not fall with the value; it cuts a group into ranges. Their counts (a row a group and range) tell in which range a
+    rank lies, and only the rows of those ranges are ordered, each range by itself, so a group with most of the rows is no one task."""
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("_g"), F.col(value).alias("_v"), part.alias("_p"))
+    counts = rows.groupBy("_g", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy("_g").orderBy("_p")
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(Window.partitionBy("_g")))
+    asked = counts.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.ceil(F.lit(x) * F.col("_all")).alias("rank")) for k, x in shares.items()])))
+    asked = asked.where((F.col("_s.rank") > F.col("_before")) & (F.col("_s.rank") <= F.col("_before") + F.col("_n"))).select("_g", "_p", "_s.name", (F.col("_s.rank") - F.col("_before")).alias("_at"))
+    ranked = rows.join(asked.select("_g", "_p").distinct(), ["_g", "_p"], "left_semi").withColumn("_at", F.row_number().over(Window.partitionBy("_g", "_p").orderBy("_v")))
+    hit = ranked.join(asked, ["_g", "_p", "_at"])
+    return hit.groupBy(F.col("_g").alias(group)).agg(*[F.max(F.when(F.col("name") == k, F.col("_v"))).alias(k) for k in shares])

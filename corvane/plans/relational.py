@@ -258,12 +258,13 @@ _POOL = """WITH h AS (SELECT l_suppkey, date_trunc('month', CAST(l_shipdate AS D
 def pool_optimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of reserved units with the least total over all months: 100 hours and 60 a unit and month, the rest at 1 an hour."""
     h = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.trunc(F.to_date("l_shipdate"), "month").alias("month")).agg(F.sum("l_quantity").cast("long").alias("hours"))
-    most = h.groupBy("l_suppkey").agg(F.ceil(F.max("hours") / 100).alias("most"))
-    tried = most.select("l_suppkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("most"))).alias("units"))
-    cost = (F.col("units") * 60 + F.greatest(F.col("hours") - F.col("units") * 100, F.lit(0))).cast(CENT)
-    by = h.join(tried, "l_suppkey").groupBy("l_suppkey", "units").agg(F.sum(cost).alias("total"))
-    best = by.groupBy("l_suppkey").agg(F.min(F.struct("total", "units")).alias("b"))
-    return best.select("l_suppkey", F.col("b.units").alias("units"), F.col("b.total").alias("total"))
+    # the cost is linear between the months' kinks, so only the units beside a kink can be the best: two for each month of the term
+    rows = h.groupBy("l_suppkey").agg(F.collect_list("hours").alias("hs"))
+    beside = F.flatten(F.transform("hs", lambda x: F.array(F.floor(x / 100), F.ceil(x / 100))))
+    tried = F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), beside))
+    total = lambda n: F.aggregate("hs", F.lit(0).cast("long"), lambda a, x: a + n * 60 + F.greatest(x - n * 100, F.lit(0)))
+    best = rows.select("l_suppkey", F.array_min(F.transform(tried, lambda n: F.struct(total(n).alias("total"), n.alias("units")))).alias("b"))
+    return best.select("l_suppkey", F.col("b.units").alias("units"), F.col("b.total").cast(CENT).alias("total"))
 
 
 @query(
@@ -376,7 +377,8 @@ def counter_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderpriority", _cents("o_totalprice").alias("price"))
-    return o.groupBy("o_orderpriority").agg(F.expr("percentile_disc(0.9) within group (order by price)").cast(CENT).alias("p90_price"), F.expr("percentile_disc(0.5) within group (order by price)").cast(CENT).alias("median_price"), F.max("price").alias("max_price"))
+    found = totals.nearest_ranks(o, "o_orderpriority", "price", {"p90_price": 0.9, "median_price": 0.5, "max_price": 1.0}, F.floor(F.col("price") / 1000))
+    return found.select("o_orderpriority", *[F.col(c).cast(CENT).alias(c) for c in ("p90_price", "median_price", "max_price")])
 
 
 @query(

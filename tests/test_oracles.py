@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from corvane.plans import activity, base, checks, facts, planted, pricing, registry, relational, search, text, values  # noqa: F401
+from corvane.plans import activity, base, checks, facts, planted, pricing, registry, relational, resources, search, text, values  # noqa: F401
 
 
 @pytest.fixture(scope="module")
