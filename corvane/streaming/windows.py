@@ -55,7 +55,7 @@ def run_hours(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("window.start").alias("hour"), "event_type", "n_events", "total")
 
 
-#: An item that no end has come for within this time (of the clock) is given up.
+#: An item that no end has come for within this time of the events is given up.
 OPEN_FOR_MS = 30 * 24 * 3600 * 1000
 
 
@@ -77,14 +77,14 @@ def pair_group(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
         state.remove()
     elif started is not None:
         state.update((started, n))
-        state.setTimeoutDuration(OPEN_FOR_MS)
+        state.setTimeoutTimestamp(max(started // 1000 + OPEN_FOR_MS, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame(out, columns=["user_id", "started", "ended", "n_starts"]).astype({"user_id": "int64", "n_starts": "int64", "started": "datetime64[ns]", "ended": "datetime64[ns]"})
 
 
 def pairs(stream: DataFrame) -> DataFrame:
-    """Pairs as they close. Within a batch the order is by time; a batch must not be older than the one before."""
-    rows = stream.where(F.col("event_type").isin("view", "purchase")).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return rows.groupBy("user_id").applyInPandasWithState(pair_group, PAIR, "started long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    """Pairs as they close. Within a batch the order is by time; a batch must not be more than an hour older than the one before."""
+    rows = stream.where(F.col("event_type").isin("view", "purchase")).select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "1 hour")
+    return rows.groupBy("user_id").applyInPandasWithState(pair_group, PAIR, "started long, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_pairs(spark: SparkSession, path: str) -> DataFrame:
