@@ -45,8 +45,8 @@ SLICE = 32768
 #: A seed that more blocks than this hold is dealt over six ranges of places.
 HOT_BLOCKS = 32
 RANGES = ((0, 2), (3, 5), (6, 12), (13, 19), (20, 22), (23, 26))
-#: A symbol of the suffix arrays is what stands between two of these places behind a seed's start; the first is the seed itself.
-CUTS = (0, SEED, 37, LENGTH)
+#: Bytes that a symbol of the suffix arrays holds, and the most symbols of a row.
+SYMBOL, WIDE = 7, 8
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -136,22 +136,20 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
 def _sorted_seeds(right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Order of the rows of ``right`` (bytes, zeros behind each row's length), from the suffix array of all distinct rows end to end.
 
-    A symbol is the rank of the bytes between two cuts; rows end in the smallest symbol, so a row comes before its own extensions.
+    A symbol is ``SYMBOL`` bytes read as one number, never a rank, so nothing is renamed; a row ends in a number smaller than any of
+    these, its length, so it comes before its own extensions.
     """
     digest = _digest(right, lengths)
     _, first_row, back = np.unique(digest, return_index=True, return_inverse=True)
     if not ((right == right[first_row][back]).all() and (lengths == lengths[first_row][back]).all()):
         first_row = back = np.arange(len(right))  # two rows of one digest: all rows are sorted
     one, n_one = right[first_row], lengths[first_row]
-    wide = max(z - a for a, z in zip(CUTS, CUTS[1:]))
-    used = np.stack([n_one > a for a in CUTS[:-1]], axis=1)
-    pieces = np.zeros((len(one), len(CUTS) - 1, wide), np.uint8)
-    for k, (a, z) in enumerate(zip(CUTS, CUTS[1:])):
-        pieces[:, k, : z - a] = one[:, a:z]
-    ranks = np.unique(np.ascontiguousarray(pieces[used]).view(f"V{wide}")[:, 0], return_inverse=True)[1] + 2
-    table = np.ones((len(one), len(CUTS)), np.int64)
-    table[:, :-1][used] = ranks
-    keep = np.concatenate([used, np.ones((len(one), 1), bool)], axis=1)
+    padded = np.zeros((len(one), WIDE * SYMBOL), np.int64)
+    padded[:, : one.shape[1]] = one
+    table = np.empty((len(one), WIDE + 1), np.int64)
+    table[:, :-1] = (padded.reshape(len(one), WIDE, SYMBOL) << (8 * np.arange(SYMBOL)[::-1])).sum(axis=2) + LENGTH + 2
+    table[:, -1] = n_one + 1
+    keep = np.concatenate([n_one[:, None] > SYMBOL * np.arange(WIDE), np.ones((len(one), 1), bool)], axis=1)
     symbols = np.append(table[keep], 0)
     row_of = np.full(len(symbols), -1, np.int64)
     row_of[np.r_[0, np.cumsum(keep.sum(axis=1))[:-1]]] = np.arange(len(one))
