@@ -271,7 +271,7 @@ class _Pieces:
             for i in range(SEED, LENGTH - g):
                 h = C.mixed(h + rec["right"][hot, i].astype(np.uint64))
             deal[hot] = h
-        flat = np.ascontiguousarray(rec).view(np.uint8).reshape(len(rec), -1)
+        flat = np.ascontiguousarray(rec).view(np.uint8).reshape(len(rec), _RECORD.itemsize)
         digest = _digest(flat)
         key = np.lexsort((self.ids, digest, deal))
         if len(key):
