@@ -23,6 +23,8 @@ from corvane.llm import common as C
 WORDS, K = 5, 128
 #: Quantiles of the ids that are looked up; between them ranges are of one width.
 MARKS = 2048
+#: Ranges whose table (24 bytes each) is broadcast; beyond, it is joined by exchange.
+BROADCAST = 100_000
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -126,7 +128,8 @@ def with_next(docs: DataFrame, parts: int, k: int = K) -> DataFrame:
     turn = Window.orderBy("_part")
     tops = tops.withColumn("_to", F.coalesce(F.lag("_part").over(turn), F.max("_part").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     # of rows that repeat the first id of a range, the smallest text is the first
-    guests = rows.join(tops, ["_part", "_key"]).groupBy("_to").agg(F.min("text").alias("text"))
+    known = F.broadcast(tops) if parts <= BROADCAST else tops  # a row a range
+    guests = rows.join(known, ["_part", "_key"]).groupBy("_to").agg(F.min("text").alias("text"))
     guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("_key"), F.col("_to").alias("_part"), F.lit(True).alias("_guest"))
     order = Window.partitionBy("_part").orderBy("_guest", F.desc("_key"), "text")
     every = rows.withColumn("_guest", F.lit(False)).unionByName(guests).repartition(parts, "_part")
