@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,26 +34,33 @@ def rate(term: Column) -> Column:
 def find_records(lines: DataFrame, records: DataFrame) -> DataFrame:
     """``lines`` with ``record`` (a struct, null if there is no single one) and ``problem``.
 
-    lines: line, service, api, flavor, os, id, region. records: region, id, service, flavor, os and more. A line names a record by
-    its id, or by service and flavor, narrowed by a part of the OS text and, where several are left, by the whole of it. Both
-    joins are on the region and one exact key; each line is one row again after one aggregation, so no line collects a list.
+    lines: line (a key), service, api, flavor, os, id, region. records: region, id, service, flavor, os and more. A line names a
+    record by its id, or by service and flavor, narrowed by a part of the OS text and, where several are left, by the whole of it.
+    Lines that ask the same are answered once, and records of one key, service and OS are counted before they meet an ask, so neither
+    many lines nor many records of a flavor multiply. Each line stays one row.
     """
-    lines = lines.withColumn("sn", F.coalesce(F.when(F.col("api") != "", F.col("api")), F.lower(F.trim("service"))))
-    whole = F.struct(*records.columns).alias("r")
-    by_id = records.select(F.col("region").alias("r_region"), F.col("id").alias("r_key"), whole)
-    by_flavor = records.select(F.col("region").alias("r_region"), F.lower("flavor").alias("r_key"), whole)
     has_id = F.coalesce(F.col("id") != "", F.lit(False))
-    joined = lines.where(has_id).join(by_id, (F.col("region") == F.col("r_region")) & (F.col("id") == F.col("r_key")), "left")
-    joined = joined.unionByName(lines.where(~has_id).join(by_flavor, (F.col("region") == F.col("r_region")) & (F.lower("flavor") == F.col("r_key")), "left"))
-    os, ros = F.lower(F.trim(F.coalesce("os", F.lit("")))), F.lower(F.coalesce("r.os", F.lit("")))
-    any_, same = F.col("r").isNotNull(), F.col("r.service") == F.col("sn")
-    part = same & ((os == "") | F.contains(ros, os))
-    exact = part & (ros == os)
-    keys = [c for c in lines.columns if c != "line"]
-    found = joined.groupBy("line").agg(
-        *[F.first(c).alias(c) for c in keys], F.count_if(any_).alias("n_any"), F.count_if(same).alias("n_same"), F.count_if(part).alias("n_part"), F.count_if(exact).alias("n_exact"),
+    asked = {"region": F.col("region"), "named": has_id, "key": F.when(has_id, F.col("id")).otherwise(F.lower("flavor")), "sn": F.col("sn"), "wanted_os": F.lower(F.trim(F.coalesce("os", F.lit(""))))}
+    lines = lines.withColumn("sn", F.coalesce(F.when(F.col("api") != "", F.col("api")), F.lower(F.trim("service"))))
+    asks = lines.select(*[v.alias(f"a_{k}") for k, v in asked.items()]).distinct()
+    first = F.min_by(F.struct(*records.columns), F.col("id")).alias("r")
+    kinds = [F.col("region").alias("r_region"), F.col("service").alias("r_service"), F.lower(F.coalesce("os", F.lit(""))).alias("ros")]
+    by = lambda named, key: records.groupBy(*kinds, F.lit(named).alias("r_named"), key.alias("r_key")).agg(F.count(F.lit(1)).alias("n"), first)
+    kept = by(True, F.col("id")).unionByName(by(False, F.lower("flavor")))
+    joined = asks.join(kept, (F.col("a_region") == F.col("r_region")) & (F.col("a_named") == F.col("r_named")) & (F.col("a_key") == F.col("r_key")), "left")
+    any_, same = F.col("n").isNotNull(), F.col("r_service") == F.col("a_sn")
+    part = same & ((F.col("a_wanted_os") == "") | F.contains("ros", "a_wanted_os"))
+    exact = part & (F.col("ros") == F.col("a_wanted_os"))
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    answers = joined.groupBy(*[f"a_{k}" for k in asked]).agg(
+        count(any_).alias("n_any"), count(same).alias("n_same"), count(part).alias("n_part"), count(exact).alias("n_exact"),
         F.min_by(F.when(any_, F.col("r")), F.when(any_, F.col("r.id"))).alias("r_any"), F.min_by(F.when(part, F.col("r")), F.when(part, F.col("r.id"))).alias("r_part"), F.min_by(F.when(exact, F.col("r")), F.when(exact, F.col("r.id"))).alias("r_exact"),
     )
+    found = lines
+    for k, v in asked.items():
+        found = found.withColumn(f"q_{k}", v)
+    meets = [F.col(f"q_{k}").eqNullSafe(F.col(f"a_{k}")) for k in asked]
+    found = found.join(answers, reduce(and_, meets)).drop(*[f"{x}_{k}" for x in "qa" for k in asked])
     narrowed = (F.coalesce("os", F.lit("")) != "") & (F.col("n_part") > 1) & (F.col("n_exact") > 0)
     n = F.when(narrowed, F.col("n_exact")).otherwise(F.col("n_part"))
     id_problem = F.when(F.col("n_any") == 0, "no record").when(F.col("n_any") > 1, "several records").when(F.col("n_same") == 0, "other service")
