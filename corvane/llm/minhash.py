@@ -5,7 +5,8 @@ A signature takes two permutations of the 32-bit ring: ``_first`` spreads the sh
 two sets with a Jaccard of 0.85 share no band with a chance of 8e-5 (20 bands of 6).
 
 Documents with one set of shingles are one *class* (class id: the smallest doc_id). Only classes with a shared band go on.
-Their sets are made from their texts again, so that no set of any other document is stored.
+Their sets are made from their texts again, found by bits of hashed ids, so that no text is exchanged and of the other documents only
+the sets of the few that share bits are stored.
 Links between classes are found without listing the pairs of a band group: in each round every member is paired with two
 pivots of its group (the ends by a hash of band, round and class), the pairs are verified on the full sets, and the links
 joined to components. Groups that hold more than one component go on. After the last round, what is left is compared across
@@ -36,6 +37,8 @@ BANDS, ROWS = 20, 6
 #: Percent, bands and rows of a stage that no contract holds to 85: at a Jaccard of 0.80 no shared band has a chance of 7e-6.
 STAGE = 80, 30, 5
 ROUNDS, TILE, HOT = 3, 256, 20_000
+#: Bits of the ids whose sets are made again, at most: 64 MB.
+MOST_BITS = 1 << 29
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands binary"
 
 
@@ -98,6 +101,28 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["cls", "shingles"])
 
 
+def among(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) of ``source`` whose id ``wanted`` (doc_id, distinct) has, and a few others (1 in 70), so that no text
+    is exchanged: 16 bits and more an id, two of them set. Beyond ``MOST_BITS`` the texts are joined."""
+    n_bits = 1 << max(10, (16 * wanted.count()).bit_length())
+    if n_bits > MOST_BITS:
+        return source.join(wanted, "doc_id", "left_semi")
+    places = lambda: [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(n_bits)) for k in (0, 1)]
+    set_bits = wanted.select(F.explode(F.array(*places())).alias("p")).groupBy(F.floor(F.col("p") / 8).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(p % 8 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(n_bits // 8, np.uint8)
+    bits[set_bits.column("at").to_numpy()] = set_bits.column("bits").to_numpy().astype(np.uint8)
+    shared = source.sparkSession.sparkContext.broadcast(bits)
+    rows = source.where("doc_id is not null").select("doc_id", "text", *[p.alias(name) for p, name in zip(places(), "pq")])
+    return rows.mapInArrow(lambda it: _among(it, shared.value), "doc_id long, text string")
+
+
+def _among(batches, bits: np.ndarray):
+    for batch in batches:
+        p, q = np.asarray(batch.column("p")), np.asarray(batch.column("q"))
+        ok = bits[p >> 3] >> (p & 7).astype(np.uint8) & bits[q >> 3] >> (q & 7).astype(np.uint8) & 1
+        yield batch.select(["doc_id", "text"]).filter(pa.array(ok.astype(bool)))
+
+
 def _signed(block: C.Block, n_bands: int, n_rows: int) -> pa.RecordBatch:
     value, bounds = shingle_sets(block)
     size = np.diff(bounds)
@@ -248,7 +273,7 @@ def minhash_near_dedup(docs: DataFrame, percent: int = PERCENT, bands: int = BAN
     counted = groups.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
     live = C.written(spread(groups, "band", counted, hot), "bands")
     wanted = live.select(F.col("cls").alias("doc_id")).distinct()
-    sets = C.written(source.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "cls long, shingles binary"), "sets")
+    sets = C.written(among(source, wanted).mapInArrow(_sets, "cls long, shingles binary"), "sets")
     links = C.written(placed.where("cls <> other").select(F.col("cls").alias("a"), F.col("other").alias("b")), "ties")
     nodes = wanted.select(F.col("doc_id").alias("cls")).unionByName(links.select(F.col("a").alias("cls"))).unionByName(links.select(F.col("b").alias("cls"))).distinct()
     label = None

@@ -491,3 +491,14 @@ def test_ranges_of_ids_beyond_the_marks(spark, monkeypatch):
     order.sort(key=lambda x: (-x[0], x[1]))
     following = {t: order[(k + 1) % len(order)][1] for k, (_, t) in enumerate(order)}
     assert {r.text: r.next_text for r in out} == following
+
+
+def test_texts_of_wanted_ids_are_not_exchanged(spark, monkeypatch):
+    source = spark.range(5000).selectExpr("if(id = 4999, null, id) doc_id", "concat('text ', id) text")
+    wanted = spark.range(0, 5000, 50).withColumnRenamed("id", "doc_id")
+    found = minhash.among(source, wanted)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.text for r in found.collect()}
+    assert {i: got.get(i) for i in range(0, 5000, 50)} == {i: f"text {i}" for i in range(0, 5000, 50)} and len(got) < 300
+    monkeypatch.setattr(minhash, "MOST_BITS", 0)
+    assert minhash.among(source, wanted).count() == 100
