@@ -11,13 +11,14 @@ equal texts only the one with the smallest id is looked at; the others lose ever
 1. Blocks of documents send the distinct hashes of their seeds. A seed that one document alone has is dropped: no string
    around it is shared. This is a filter only, with as many bytes a hash as the input's size asks for (``C.key_bytes``).
 2. Blocks send, for each seed left, the bytes from the first to the last 50-byte string that the seed stands for (62 on
-   average), each distinct piece once, with its smallest id. Pieces with one seed meet in one bucket, where a suffix array
-   over them, with LCPs, gives the groups of equal strings and the smallest id of each. Seeds that very many blocks hold are
+   average), each distinct piece once, with its smallest id. Pieces with one seed meet in one bucket. Those whose surroundings
+   no other piece has share no string and stand alone (again a filter only); a suffix array over the rest, with LCPs, gives the
+   groups of equal strings and the smallest id of each. Seeds that very many blocks hold are
    dealt by seed, place and surrounding bytes instead, in six ranges of places, so that one passage spreads over buckets.
 3. A bit for each string comes back, and blocks cut their own texts.
 
-Blocks and buckets follow the bytes of text, and what one block sends to one bucket is one row, so there are never more rows
-than seeds or pieces. The pieces' bytes are compared themselves, so the result is exact. A null text is empty; a null id counts
+Blocks and buckets follow the bytes of text and grow with it up to four times, and what one block sends to one bucket is one row,
+so there are never more rows than seeds or pieces. The pieces' bytes are compared themselves, so the result is exact. A null text is empty; a null id counts
 as larger than any other; rows that share an id don't remove from each other (ties: the same id is no smaller id); texts under
 50 bytes stay; a text of any length is read whole, as a part of one block; an empty table gives no rows. Other columns don't
 matter.
@@ -38,30 +39,34 @@ from corvane.llm import common as C
 
 LENGTH, SEED = 50, 24
 SPAN = LENGTH - SEED + 1
-#: Bytes of text in a block (one Python call), and bytes for each bucket.
+#: Bytes of text in a block (one Python call), and bytes for each bucket. What one block sends to one bucket is a row, so their sizes
+#: grow with the input up to ``GROWN`` times, from ``FEW`` blocks on: else the rows would grow with its square.
 BLOCK, BUCKET = 2 << 20, 4 << 20
-#: Records that are made at once.
-SLICE = 32768
+GROWN, FEW = 4, 400
+#: Records that are made at once, and strings whose seeds are.
+SLICE, STEP = 32768, 1 << 15
 #: A seed that more blocks than this hold is dealt over six ranges of places.
 HOT_BLOCKS = 32
 RANGES = ((0, 2), (3, 5), (6, 12), (13, 19), (20, 22), (23, 26))
+#: Places whose strings are told apart at once before the suffix arrays.
+NEAR = 3
 #: Bytes that a symbol of the suffix arrays holds, and the most symbols of a row.
 SYMBOL, WIDE = 7, 8
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def suffix_array(symbols: Sequence[int]) -> list[int]:
+def suffix_array(symbols: Sequence[int] | np.ndarray) -> list[int]:
     """The starts of all suffixes of ``symbols`` in ascending order. The last symbol must be the smallest and occur once."""
-    n = len(symbols)
-    order = sorted(range(n), key=symbols.__getitem__)
-    place, head, size = [0] * n, [0] * n, {}
-    at = 0
-    for k, i in enumerate(order):
-        if k and symbols[i] != symbols[order[k - 1]]:
-            at = k
-        place[i] = k
-        head[i] = at
-        size[at] = size.get(at, 0) + 1
+    values = np.asarray(symbols)
+    n = len(values)
+    by = np.argsort(values, kind="stable")
+    cut = np.flatnonzero(np.r_[True, values[by][1:] != values[by][:-1]])
+    counts = np.diff(np.r_[cut, n])
+    start, of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    of[by], start[by] = np.arange(n), np.repeat(cut, counts)
+    sizes = np.zeros(n, np.int64)
+    sizes[cut] = counts
+    order, place, head, size = by.tolist(), of.tolist(), start.tolist(), sizes.tolist()
     smaller = [-1] * n
     top = n
     while top:
@@ -153,7 +158,7 @@ def _sorted_seeds(right: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     symbols = np.append(table[keep], 0)
     row_of = np.full(len(symbols), -1, np.int64)
     row_of[np.r_[0, np.cumsum(keep.sum(axis=1))[:-1]]] = np.arange(len(one))
-    rows = row_of[np.array(suffix_array(symbols.tolist()), np.int64)]
+    rows = row_of[np.array(suffix_array(symbols), np.int64)]
     rows = rows[rows >= 0]
     rank = np.empty(len(one), np.int64)
     rank[rows] = np.arange(len(one))
@@ -209,35 +214,49 @@ def _digest(rows: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
     return h
 
 
+def seeds_of(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the seeds in ascending order, the first and the last string that each stands for, and the seeds' hashes.
+
+    The hashes are made of ``STEP`` strings at a time, so that they stay in a core's cache."""
+    n = len(data) - LENGTH + 1
+    whole = np.ones(max(n, 0), bool)  # strings that end in their own document
+    past = start[1:, None] - np.arange(1, LENGTH)[None, :]
+    whole[past[(past >= 0) & (past < n)]] = False
+    found = []
+    for at in range(0, n, STEP):
+        inside = np.flatnonzero(whole[at : at + STEP])
+        if not len(inside):
+            continue
+        seeds = C.runs_hash(C._TABLES[0][data[at : at + STEP + LENGTH - 1]], SEED)
+        own = C.owners(seeds, SPAN)[inside]
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        last = np.r_[first[1:], len(own)] - 1
+        found.append((own[first] + at, inside[first] + at, inside[last] + at, seeds[own[first]]))
+    if not found:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.astype(np.uint64)
+    place, lo, hi, value = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])  # a seed may go on in the next step
+    return place[new], lo[new], hi[np.r_[new[1:], len(place)] - 1], value[new]
+
+
 class _Pieces:
     """Seeds of a block, and after the first answers the pieces around those that other documents have too."""
 
     def __init__(self, b: C.Block, n_buckets: int, width: int, answers: dict[int, bytes] | None):
         self.block = b
-        n = len(b.data)
         self.keys, self.records = None, None
-        self.seed = self.window = np.zeros(0, np.int64)
-        if n < LENGTH:
-            return
-        seeds = C.runs_hash(C._TABLES[0][b.data], SEED)
-        owner = C.owners(seeds, SPAN)
-        doc_end = np.repeat(b.start[1:], np.diff(b.start))
-        windows = np.flatnonzero(np.arange(n - LENGTH + 1) + LENGTH <= doc_end[: n - LENGTH + 1])
-        if not len(windows):
+        place, lo, hi, value = seeds_of(b.data, b.start)
+        if not len(place):
             return
-        own = owner[windows]
-        cut = np.flatnonzero(np.r_[True, np.diff(own) != 0])
-        place, lo, hi = own[cut], windows[cut], windows[np.r_[cut[1:], len(windows)] - 1]
-        doc = np.searchsorted(b.start, place, side="right") - 1
-        ids = b.ids[doc]
-        value = seeds[place]
-        by = np.lexsort((ids, value))
+        ids = b.ids[np.searchsorted(b.start, place, side="right") - 1]
+        by = np.argsort(value)
         new = np.r_[True, np.diff(value[by]) != 0]
         group = np.empty(len(by), np.int64)
         group[by] = np.cumsum(new) - 1
         edges = np.flatnonzero(new)
-        lasts = np.r_[edges[1:], len(by)] - 1
-        self.keys = C.Keys(value[by][edges], ids[by][edges] != ids[by][lasts], n_buckets, width)
+        twice = np.minimum.reduceat(ids[by], edges) != np.maximum.reduceat(ids[by], edges)
+        self.keys = C.Keys(value[by][edges], twice, n_buckets, width)
         if answers is None:
             return
         got = self.keys.answers(answers, 2)[group]
@@ -287,6 +306,20 @@ class _Pieces:
         self.bounds = np.searchsorted(bucket[self.order], np.arange(n_buckets + 1))
 
 
+def _meeting(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+    """Which pieces may share a string with another one: in some ``NEAR`` places, what all strings there have in common has a hash
+    that another piece has too. Others share none, so the suffix arrays need not hold them."""
+    out = np.zeros(len(left), bool)
+    for first in range(0, SPAN, NEAR):
+        least = LENGTH - min(first + NEAR, SPAN) + 1
+        has = np.flatnonzero((n_left >= first) & (n_right >= least))
+        h = _digest(np.concatenate([left[has, :first], right[has, :least]], axis=1))
+        by = np.argsort(h)
+        same = h[by][1:] == h[by][:-1]
+        out[has[by[1:][same]]] = out[has[by[:-1][same]]] = True
+    return out
+
+
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
@@ -334,7 +367,12 @@ def _decide(table: pa.Table) -> pa.Table:
     least = np.full(len(one), np.iinfo(np.int64).max, np.int64)
     np.minimum.at(least, back, ids)
     one = one.view(_RECORD)
-    best = smallest_sharing(one["left"], one["right"], one["n_left"].astype(np.int64), one["n_right"].astype(np.int64), least)
+    n_left, n_right = one["n_left"].astype(np.int64), one["n_right"].astype(np.int64)
+    places = np.arange(SPAN)
+    best = np.where((places <= n_left[:, None]) & (LENGTH - places <= n_right[:, None]), least[:, None], np.iinfo(np.int64).max)
+    with_others = np.flatnonzero(_meeting(one["left"], one["right"], n_left, n_right))
+    at = one[with_others]
+    best[with_others] = smallest_sharing(at["left"], at["right"], n_left[with_others], n_right[with_others], least[with_others])
     gone = best[back] < ids[:, None]
     bits = np.packbits(gone, axis=1)
     out, at = {}, 0
@@ -349,7 +387,7 @@ def _cut(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.T
     by = C.replies_by_level(replies)
     rows = C.Rows(table, C.by_level(replies))
     b, p = rows.block, _Pieces(rows.looked, n_buckets, width, by.get(0, {}))
-    edge = np.zeros(len(p.block.data) + 1, np.int64)
+    edge = np.zeros(len(p.block.data) + 1, np.int32)
     if p.records is not None and len(p.records):
         gone = np.zeros((len(p.records), SPAN), bool)
         for bucket, blob in by.get(1, {}).items():
@@ -359,10 +397,10 @@ def _cut(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.T
             mine = gone[p.group[part]] | (p.ids[part] > p.least[p.group[part]])[:, None]
             where = p.place[part, None] - np.arange(SPAN)[None, :]
             mine &= (where >= p.lo[part, None]) & (where <= p.hi[part, None])
-            starts = where[mine]
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + LENGTH, -1)
-    keep_of = np.cumsum(edge[:-1]) == 0
+            starts = where[mine]  # each string once: it has one seed, and one range of places
+            edge[starts] += 1
+            edge[starts + LENGTH] -= 1
+    keep_of = np.cumsum(edge[:-1], dtype=np.int32) == 0
     size = np.diff(b.start)
     keep = np.repeat(size < LENGTH, size)  # a row that isn't looked at repeats the text of a smaller id
     for i in np.flatnonzero(rows.same >= 0).tolist():
@@ -373,7 +411,7 @@ def _cut(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.T
     runs[1:] &= keep[:-1]
     heads = b.start[:-1][size > 0]
     runs[heads] = lone[heads]
-    count = lambda mask: np.diff(np.r_[0, np.cumsum(mask)][b.start])
+    count = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), b.start))
     texts = [b.data[s:e][keep[s:e]].tobytes() for s, e in zip(b.start[:-1].tolist(), b.start[1:].tolist())]
     columns = [b.id_column(), pa.array(size, pa.int64()), pa.array(count(lone), pa.int64()), pa.array(count(runs), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()), pa.array(texts, pa.binary())]
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
@@ -383,14 +421,20 @@ def _cut(table: pa.Table, replies: pa.Table, n_buckets: int, width: int) -> pa.T
     return pa.Table.from_arrays(columns, names=names)
 
 
+def sizes(n_bytes: int) -> tuple[int, int]:
+    """Numbers of blocks and of buckets."""
+    grown = min(GROWN, max(1.0, n_bytes / BLOCK / FEW))
+    return C.block_count(n_bytes, int(BLOCK * grown)), C.block_count(n_bytes, int(BUCKET * grown))
+
+
 def suffix_array_dedup(docs: DataFrame, n_blocks: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row of ``docs`` (doc_id, text).
 
     carry: names of columns that come back with each row, as the struct ``carried``.
     """
     n_bytes = C.text_bytes(docs)
-    n_blocks, width = n_blocks or C.block_count(n_bytes, BLOCK), C.key_bytes(n_bytes)
-    n_buckets = C.block_count(n_bytes, BUCKET)
+    n_made, n_buckets = sizes(n_bytes)
+    n_blocks, width = n_blocks or n_made, C.key_bytes(n_bytes)
     blocks, heads = C.in_blocks(docs, n_blocks, carry)
     schema = T.StructType([*T.StructType.fromDDL(SCHEMA).fields, *([blocks.schema["carried"]] if carry else [])])
     none = F.lit(None)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,6 +75,47 @@ def test_suffix_array_dedup(docs, rows, no_docs, hot, monkeypatch):
     assert suffixarray.suffix_array_dedup(no_docs).count() == 0
 
 
+def test_seeds_across_steps(rows, monkeypatch):
+    texts = [(t or "").encode() for _, t in rows]
+    data, start = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = suffixarray.seeds_of(data, start)
+    monkeypatch.setattr(suffixarray, "STEP", 37)
+    assert all((a == b).all() for a, b in zip(want, suffixarray.seeds_of(data, start)))
+    strings = [k for s, e in zip(start[:-1], start[1:]) for k in range(s, e - suffixarray.LENGTH + 1)]
+    assert [k for a, z in zip(want[1], want[2]) for k in range(a, z + 1)] == strings
+    seeds = C.runs_hash(C._TABLES[0][data], suffixarray.SEED) >> np.uint64(32)
+    assert all(seeds[p] == seeds[k : k + suffixarray.SPAN].min() for p, a, z in zip(*want[:3]) for k in range(a, z + 1))
+
+
+def test_only_pieces_that_may_share_a_string_are_sorted(monkeypatch):
+    seen = []
+    sort = suffixarray.suffix_array
+    monkeypatch.setattr(suffixarray, "suffix_array", lambda s: seen.append(len(s)) or sort(s))
+    rng = np.random.default_rng(3)
+    records = np.zeros(40, suffixarray._RECORD)
+    records["left"], records["right"] = rng.integers(97, 123, (40, 26)), rng.integers(97, 123, (40, 50))
+    records["right"][:, :24] = records["right"][0, :24]  # one seed, other surroundings
+    records["n_left"], records["n_right"] = 26, 50
+    records[39] = records[0]
+    records["left"][39, 5:] = 65  # strings with up to five bytes before the seed are shared
+
+    def gone(rec):
+        blob = suffixarray._packed(rec, np.arange(len(rec)))
+        table = pa.table({"bucket": pa.array([0], pa.int32()), "block": pa.array([0], pa.int32()), "blob": [blob]})
+        bits = suffixarray._decide(table).column("blob")[0].as_py()
+        return np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(rec), -1), axis=1, count=27)
+
+    assert not gone(records[:39]).any() and not seen
+    got = gone(records)
+    assert got[39].tolist() == [1] * 6 + [0] * 21 and not got[:39].any() and 0 < max(seen) < 30
+
+
+def test_rows_of_the_exchange_do_not_grow_with_the_square():
+    small, large = (np.prod(suffixarray.sizes(n)) for n in (800 << 20, 10 << 30))
+    assert suffixarray.sizes(100 << 20) == (50, 25)  # small inputs keep their blocks
+    assert large / small < 12.8 * 1.1
+
+
 def test_without_repeats_keeps_rows_whole(docs, rows):
     out = suffixarray.without_repeats(docs)
     assert out.columns == docs.columns and out.count() == len(rows)
