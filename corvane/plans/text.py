@@ -224,8 +224,8 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least 30 % of an item's eight-word sequences."""
-    grams = lambda t, i: search.grams(table(spark, sf_dir, t).select(i, X.words(F.col("text")).alias("w")), i, 8)
-    return search.containment(grams("benchmark", "item_id"), "item_id", grams("documents", "doc_id"), "doc_id", 0.3)
+    items, docs = (table(spark, sf_dir, t).select(i, X.words(F.col("text")).alias("w")) for t, i in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return search.containment(search.grams(items, "item_id", 8), "item_id", search.grams_among(docs, "doc_id", 8, items), "doc_id", 0.3)
 
 
 @query(
